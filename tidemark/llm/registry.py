@@ -1,6 +1,19 @@
 """Queries of this subpackage and their SQL."""
 
+from tidemark.llm.chat_format import OP3_SQL, op3_chat_format
+from tidemark.llm.decontaminate import OP6_SQL, op6_decontaminate
 from tidemark.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from tidemark.llm.url_filter import OP5_SQL, op5_url_filter
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup}
-ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
+QUERIES = {
+    "op3_chat_format": op3_chat_format,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_url_filter": op5_url_filter,
+    "op6_decontaminate": op6_decontaminate,
+}
+ORACLE_SQL = {
+    "op3_chat_format": OP3_SQL,
+    "op4_exact_dedup": OP4_SQL,
+    "op5_url_filter": OP5_SQL,
+    "op6_decontaminate": OP6_SQL,
+}
