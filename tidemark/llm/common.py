@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Most words of 64 bits in a broadcast filter: 16 bytes a row, so 16 MB of rows.
@@ -38,3 +39,17 @@ def with_maybe(df: DataFrame, bits: DataFrame, key: Column, name: str, words: in
     j = df.withColumn("_fp", pos).join(F.broadcast(b), F.shiftright(F.col("_fp"), 6) == F.col("_fw"), "left")
     hit = F.coalesce(F.expr("getbit(_fb, CAST(_fp & 63 AS INT))") == 1, F.lit(False))
     return j.withColumn(name, hit).drop("_fp", "_fw", "_fb")
+
+
+def utf8(texts: pa.Array) -> list[bytes]:
+    """Texts of an Arrow column as bytes; null is empty."""
+    return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+
+
+#: A-Z lower-cased; ASCII other than letters and digits becomes a blank; other bytes stay.
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
+
+
+def split_words(text: bytes) -> list[bytes]:
+    """Lower-cased words of letters, digits and characters beyond ASCII, in UTF-8."""
+    return text.translate(_FOLD).split()
