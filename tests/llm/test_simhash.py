@@ -84,3 +84,48 @@ def test_search_is_exact_on_dense_groups():
     got = {(a, b) for p in x.links(unit, side, fps, 3) for a, b in zip(p[0].tolist(), p[1].tolist())}
     want = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if unit[a] == unit[b] and bin(int(fps[a] ^ fps[b])).count("1") <= 3}
     assert got == want
+
+
+def shingles(text, k=5):
+    w = text.encode().lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or {b" ".join(w)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def near_copies(rng, groups, edits):
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(3000)]
+    rows, i = [], 0
+    for g in range(groups):
+        base = [rng.choice(vocab) for _ in range(rng.randrange(40, 600))]
+        for c in range(3):
+            w = list(base)
+            for _ in range(int(len(w) * edits) if c else 0):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            rows.append((i, " ".join(w), g))
+            i += 1
+    return rows
+
+
+@pytest.mark.parametrize("edits", [0.01, 0.02])
+def test_similar_texts_recall_and_clean_texts(spark, edits):
+    rows = near_copies(random.Random(7), 200, edits)
+    df = spark.createDataFrame(rows, "doc_id long, text string, node int").repartition(6)
+    kept = {r["doc_id"] for r in x.keep_one(df).collect()}
+    assert x.keep_one(df).columns == df.columns
+    groups = {g for i, _, g in rows if i in kept}
+    assert len(groups) == 200  # no group is lost
+    sh = [shingles(t) for _, t, _ in rows]
+    pairs = [(i, j) for i in range(0, len(rows), 3) for j in (i + 1, i + 2) if jaccard(sh[i], sh[j]) >= 0.8]
+    assert len(pairs) > 250
+    assert sum(j in kept for _, j in pairs) <= 0.1 * len(pairs)
+
+
+def test_keep_one_edges(spark):
+    rows = [(1, None), (2, ""), (3, "a b"), (3, "other words stand here in a row"), (None, "a b"), (5, "z " * 100_000), (6, "A  b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = x.keep_one(df).collect()
+    assert sorted(((r["doc_id"], (r["text"] or "")[:5]) for r in kept), key=str) == sorted([(1, ""), (3, "a b"), (3, "other"), (5, "z z z")], key=str)
+    assert x.keep_one(df.limit(0)).count() == 0
