@@ -12,12 +12,14 @@ from tidemark.sources.runs import RunStore
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def flush_stream(mutations: DataFrame, root: str, checkpoint: str, compact_every: int = 4) -> StreamingQuery:
+def flush_stream(mutations: DataFrame, root: str, checkpoint: str, compact_every: int = 4, in_order: bool = False) -> StreamingQuery:
     """Each micro-batch becomes run ``batch id``.
 
     ``foreachBatch`` is at-least-once: a repeated batch overwrites its own run and
     is not listed twice. Flushing follows the trigger's size limits
-    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
+    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``). Late mutations are merged by
+    ``seq``, so tombstones are dropped at the bottom only where ``in_order`` promises
+    that no older mutation follows.
     """
     spark = mutations.sparkSession
     runs = RunStore(spark, root)
@@ -33,7 +35,7 @@ def flush_stream(mutations: DataFrame, root: str, checkpoint: str, compact_every
         version = runs.publish(state, version)
         if (batch_id + 1) % compact_every == 0 and (step := compaction.plan(state["runs"], l0_runs=compact_every - 1)):
             old = [*step["inputs"], *step["below"]]
-            new = runs.write_run(compaction.merge(runs.read(old), step["bottom"]), run_id + 1, step["target"])
+            new = runs.write_run(compaction.merge(runs.read(old), step["bottom"] and in_order), run_id + 1, step["target"])
             gone = {r["run_id"] for r in old}
             runs.publish(state | {"runs": [r for r in state["runs"] if r["run_id"] not in gone] + ([new] if new else [])}, version)
             runs.delete_runs(old)
