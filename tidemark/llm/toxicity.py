@@ -38,8 +38,8 @@ HIDDEN, ATT = 8, 8
 WORD_DIM, CHAR_DIM = 4, 4
 WORD_SLOTS, CHAR_SLOTS = 1 << 18, 1 << 17
 THRESHOLD = 0.7
-ROUNDS, EPOCHS, BATCH, RATE = 5, 3, 128, 0.01
-CACHE = 400_000
+ROUNDS, EPOCHS, BATCH, RATE = 4, 3, 128, 0.01
+CACHE = 200_000
 INPUTS = 3 + WORD_DIM + CHAR_DIM
 
 
@@ -142,23 +142,19 @@ class Network:
         h, (m, t_max) = HIDDEN, ids.shape
         pad = len(gates) - 1
         zr_w, n_w = self.step_weights()
-        fcol = np.r_[0:h, 2 * h : 3 * h, 4 * h : 5 * h]
-        split = np.ascontiguousarray(gates[:, fcol]), np.ascontiguousarray(gates[:, fcol + h])
         there = (ids != pad).astype(np.float32)
+        mirror = np.flatnonzero(np.tile(np.r_[np.full(h, False), np.full(h, True)], 3))
         states = np.zeros((t_max, m, 2 * h), np.float32)
         s = np.zeros((m, 2 * h), np.float32)
         cache = []
-        g = np.empty((m, 6 * h), np.float32)
         for t in range(t_max):
-            a, b = split[0][ids[:, t]], split[1][ids[:, t_max - 1 - t]]
-            for k in range(3):
-                g[:, 2 * k * h : 2 * k * h + h] = a[:, k * h : k * h + h]
-                g[:, 2 * k * h + h : 2 * k * h + 2 * h] = b[:, k * h : k * h + h]
+            g = gates[ids[:, t]]
+            g[:, mirror] = gates[ids[:, t_max - 1 - t]][:, mirror]
             zr = sigmoid(g[:, : 4 * h] + s @ zr_w)
             z, r = zr[:, : 2 * h], zr[:, 2 * h :]
             u = s @ n_w
             n = 2 * sigmoid(2 * (g[:, 4 * h :] + r * u)) - 1
-            on = np.concatenate([np.repeat(there[:, t, None], h, 1), np.repeat(there[:, t_max - 1 - t, None], h, 1)], 1)
+            on = np.repeat(np.stack([there[:, t], there[:, t_max - 1 - t]], 1), h, 1)
             new = s + on * (1 - z) * (n - s)
             if keep:
                 cache.append((s, z, r, u, n, on))
@@ -361,7 +357,7 @@ class Scorer:
     def clear(self) -> None:
         self.number: defaultdict[bytes, int] = defaultdict()
         self.number.default_factory = self.number.__len__
-        self.gates = np.zeros((0, 6 * HIDDEN), np.float32)
+        self.table = self.gates = np.zeros((0, 6 * HIDDEN), np.float32)
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -379,10 +375,19 @@ class Scorer:
             have = len(self.gates)
             if len(self.number) > have:
                 new = list(self.number)[have:]
-                parts = [self.model.net.projected(self.model.inputs(new[k : k + 20_000])) for k in range(0, len(new), 20_000)]
-                self.gates = np.concatenate([self.gates, *parts])
-            ids, owner = window_ids(docs, len(self.gates))
-            gates = np.concatenate([self.gates, np.zeros((1, 6 * HIDDEN), np.float32)])
+                if len(self.number) > len(self.table):
+                    self.table = np.concatenate([self.gates, np.zeros((len(self.number) * 3 // 2 - have, 6 * HIDDEN), np.float32)])
+                for k in range(0, len(new), 20_000):
+                    part = self.model.net.projected(self.model.inputs(new[k : k + 20_000]))
+                    self.table[have + k : have + k + len(part)] = part
+                self.gates = self.table[: len(self.number)]
+            n = len(self.number)
+            ids, owner = window_ids(docs, n)
+            used, ids_ = np.unique(ids, return_inverse=True)  # a small table that stays in the processor's cache
+            ids = ids_.reshape(ids.shape)
+            used = used[used < n]
+            ids[ids >= len(used)] = len(used)
+            gates = np.concatenate([self.gates[used], np.zeros((1, 6 * HIDDEN), np.float32)])
             logit = self.model.score_ids(gates, ids)
             out[at:upto] = sigmoid(np.maximum.reduceat(logit, np.searchsorted(owner, np.arange(upto - at))).astype(np.float64))
             at = upto
