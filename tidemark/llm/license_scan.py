@@ -130,24 +130,28 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
 def matches(index: Index, ids: np.ndarray, hits: list[tuple[int, int, int]], coverage: float) -> list[tuple[int, int, int, int]]:
     """(template, matched words, first word, end) from hits (template, place in it, place in the document)."""
     found = []
-    hits = sorted((t, q - p, q) for t, p, q in hits)
-    at_hand, left = -1, ids
-    while hits:
-        t, diagonal, _ = hits[0]
-        if t != at_hand:
-            at_hand, left = t, ids.copy()
-        size = len(index.words[t])
-        near = [h for h in hits if h[0] == t and h[1] - diagonal <= BAND and abs(h[2] - hits[0][2]) <= size + BAND]
-        centre = sorted(h[1] for h in near)[len(near) // 2]
-        a = align(index.words[t], left, centre)
-        good = a is not None and a[0] >= coverage * size
-        # What a good alignment covers is done.
-        gone = {h for h in near if a[1] <= h[2] < a[2]} if good else set(near)
-        if good:
-            found.append((t, *a))
-            left[a[1] : a[2]] = -2  # so that another copy close by is found next
-        gone = gone or set(near)
-        hits = [h for h in hits if h not in gone]
+    by: dict[int, list[tuple[int, int]]] = {}
+    for t, p, q in hits:
+        by.setdefault(t, []).append((q, q - p))
+    for t, own in by.items():
+        own.sort()
+        size, left, alive = len(index.words[t]), ids.copy(), [True] * len(own)
+        for i, (q, diagonal) in enumerate(own):
+            while alive[i]:
+                near = []
+                for j in range(i, len(own)):
+                    if own[j][0] > q + size + BAND:
+                        break
+                    if alive[j] and abs(own[j][1] - diagonal) <= BAND:
+                        near.append(j)
+                a = align(index.words[t], left, sorted(own[j][1] for j in near)[len(near) // 2])
+                done = near
+                if a is not None and a[0] >= coverage * size:
+                    found.append((t, *a))
+                    left[a[1] : a[2]] = -2  # so that another copy close by is found next
+                    done = [j for j in near if a[1] <= own[j][0] < a[2]] or near
+                for j in done:
+                    alive[j] = False
     found.sort(key=lambda f: (-f[1], -f[1] / len(index.words[f[0]]), f[2], f[0]))
     kept: list[tuple[int, int, int, int]] = []
     taken: list[tuple[int, int]] = []  # spans that stay, in order
