@@ -34,7 +34,7 @@ from tidemark.llm.common import free_name, table, utf8
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LITERAL = "\ud800"  # stands for a literal mark inside a word: no text in UTF-8 has it
-CACHE, PAIRS = 300_000, 1_000_000
+CACHE, PAIRS = 400_000, 500_000
 
 
 class Vocabulary:
@@ -58,9 +58,12 @@ class Vocabulary:
         self.pairs: dict[tuple[str, str], bool] = {}
         #: Pieces that merging can make of their own characters.
         self.whole = {p for p in self.ids if not self.bpe or self.merged(p) == [p]}
+        #: Their endings: a walk back from a place stops where no piece ends so.
+        self.endings = {p[k:] for p in self.whole for k in range(len(p))}
+        self.encoder: Encoder | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"pairs": {}}
+        return self.__dict__ | {"pairs": {}, "encoder": None}
 
     @classmethod
     def load(cls, path: str) -> "Vocabulary":
@@ -111,7 +114,7 @@ class Vocabulary:
 
     def encode_sorted(self, words: list[str]) -> list[list[int]]:
         """Ids of distinct words in sorted order, by one walk through their trie."""
-        ids, whole, longest, scores = self.ids, self.whole, self.longest, self.scores
+        ids, whole, endings, longest, scores, pairs = self.ids, self.whole, self.endings, self.longest, self.scores, self.pairs
         last: list[str] = [""]  # of each prefix of the walk, its last piece
         total: list[float] = [0.0]
         before = ""
@@ -127,11 +130,17 @@ class Vocabulary:
             for i in range(common + 1, n + 1):
                 if self.bpe:
                     found = word[i - 1]  # alone unless a longer piece fits; also a character without a piece
-                    for j in range(max(0, i - longest), i - 1):
-                        t = word[j:i]
-                        if t in whole and (j == 0 or self.fit_together(last[j], t)):
-                            found = t
-                            break
+                    j = i - 2
+                    while j >= 0 and (t := word[j:i]) in endings:
+                        if t in whole:
+                            if j == 0:
+                                found = t
+                                break
+                            ok = pairs.get((last[j], t))
+                            if ok if ok is not None else self.fit_together(last[j], t):
+                                found = t
+                                break
+                        j -= 1
                     last.append(found)
                 else:
                     best, found = total[i - 1] + (scores[ids[word[i - 1]]] if word[i - 1] in ids else self.unk_score), word[i - 1]
@@ -166,6 +175,13 @@ class Vocabulary:
 class Encoder:
     """Encodes batches; words seen before are kept, up to ``CACHE``."""
 
+    @classmethod
+    def of(cls, vocabulary: Vocabulary) -> "Encoder":
+        """One for all tasks of a worker."""
+        if vocabulary.encoder is None:
+            vocabulary.encoder = cls(vocabulary)
+        return vocabulary.encoder
+
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.clear()
@@ -216,7 +232,7 @@ def encode_rows(docs: DataFrame, vocabulary: Vocabulary, name: str = "token_ids"
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder.of(shared.value)
         for b in batches:
             for at, texts in _slices(utf8(b.column(text))):
                 ids, ends = encoder(texts)
@@ -246,7 +262,7 @@ def round_trips(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        encoder = Encoder(v)
+        encoder = Encoder.of(v)
         for b in batches:
             raw = utf8(b.column(1))
             rows = []
