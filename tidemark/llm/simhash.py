@@ -26,6 +26,7 @@ minimum (its own class is its fingerprint's). Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -254,17 +255,28 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, chu
 #
 # At a Jaccard similarity of 0.8 about 15 % of a SimHash's bits differ, ten of 64, too
 # many for disjoint blocks. The wide form has 256 bits, links at most ``WIDE_RADIUS`` of
-# them (0.8 and a margin for the estimate's spread), and puts ``TURNS`` fixed samples of
-# ``TOP`` bits on top one after another. A pair at 0.8 agrees in one of the samples, and
-# so meets, in about 94 of 100 cases, at 0.9 nearly always; groups of copies are joined
-# by any chain of such pairs.
+# them (0.8 and a margin for the estimate's spread), and puts fixed samples of bits on
+# top one after another. Samples grow with the logarithm of the rows, so that groups
+# stay small, and their number follows: a pair at 0.8 agrees in one of them, and so
+# meets, in ``MEET`` of all cases, at 0.9 nearly always; groups of copies are joined by
+# any chain of such pairs.
 
-WIDE, WIDE_RADIUS, TURNS, TOP, WIDE_SHINGLE = 4, 44, 40, 16, 5
-_ORDERS = np.stack([np.random.default_rng(1000 + i).permutation(64 * WIDE)[:64] for i in range(TURNS)])
+WIDE, WIDE_RADIUS, WIDE_SHINGLE, MEET, LIKE = 4, 44, 5, 0.95, 0.85
 _SALTS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 WORDS = [f"w{i}" for i in range(WIDE)]
 
 
+def samples(rows: int) -> tuple[int, int]:
+    """(bits of a sample, number of samples) for so many rows; 16 and 39 up to 16 million."""
+    top = min(32, max(16, rows.bit_length() - 8))
+    return top, math.ceil(math.log(1 - MEET) / math.log(1 - LIKE**top))
+
+
+def orders(turns: int) -> np.ndarray:
+    """For each sample 64 of the bits, those on top first."""
+    return np.stack([np.random.default_rng(1000 + i).permutation(64 * WIDE)[:64] for i in range(turns)])
+
+
 def wide_fingerprint(text: bytes, k: int = WIDE_SHINGLE) -> np.ndarray:
     """256 bits over distinct word shingles, as zeros and ones."""
     words = text.lower().split()
@@ -287,20 +299,22 @@ def wide_fingerprint(text: bytes, k: int = WIDE_SHINGLE) -> np.ndarray:
 
 def similar(docs: DataFrame, k: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, chunk: int | None = None) -> DataFrame:
     """(doc_id, tie, keeper): a row per distinct document (doc_id and hash of the text); keeper marks the one of each group that stays, the least."""
+    top, turns = samples(docs.count())
+    picked = orders(turns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bits = np.array([wide_fingerprint(t, k) for t in utf8(b.column(2))], np.uint8).reshape(-1, 64 * WIDE)
             fp = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-            tops = np.packbits(bits[:, _ORDERS], axis=2, bitorder="big").view(">i8").astype(np.int64).reshape(len(bits), TURNS)
-            ends = pa.array(np.arange(len(bits) + 1, dtype=np.int32) * TURNS)
+            tops = np.packbits(bits[:, picked], axis=2, bitorder="big").view(">i8").astype(np.int64).reshape(len(bits), turns)
+            ends = pa.array(np.arange(len(bits) + 1, dtype=np.int32) * turns)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(fp[:, i]) for i in range(WIDE)), pa.ListArray.from_arrays(ends, pa.array(tops.ravel()))], ["doc_id", "tie", *WORDS, "turns"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text"))
     schema = "doc_id long, tie long, " + ", ".join(f"{w} long" for w in WORDS) + ", turns array<long>"
     fps = written(d.mapInArrow(run, schema).withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
     reps = written(fps.groupBy(*WORDS).agg(F.min("node").alias("rep"), F.min("turns").alias("turns")), "simhash-wide-reps")
-    edges = _edges(_units(reps, F.col("turns"), TOP, WORDS, chunk), WORDS, radius)
+    edges = _edges(_units(reps, F.col("turns"), top, WORDS, chunk), WORDS, radius)
     comp = components(edges)
     known = reps.join(comp, reps["rep"] == comp["node"], "left").select(*WORDS, F.coalesce("component", "rep").alias("component"))
     # Words are never null, so that equal fingerprints meet.
