@@ -80,6 +80,8 @@ def test_literal_marks_and_edges_round_trip(spark, vocabulary):
     assert coded.columns == [*df.columns, "_token_ids"]
     back = x.decode_rows(coded, vocabulary, "_token_ids").collect()
     assert all(r["decoded"] == (r["text"] or "") for r in back)
+    both = x.encode_rows(df, vocabulary, decoded="decoded").collect()
+    assert [r["decoded"] for r in both] == [t or "" for _, t in rows] and [r["_token_ids"] for r in both] == [r["_token_ids"] for r in back]
     assert x.round_trips(df.limit(0), vocabulary).count() == 0
 
 

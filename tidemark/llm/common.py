@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Most words of 64 bits in a broadcast filter: 16 bytes a row, so 16 MB of rows.
@@ -53,3 +57,14 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48
 def split_words(text: bytes) -> list[bytes]:
     """Lower-cased words of letters, digits and characters beyond ASCII, in UTF-8."""
     return text.translate(_FOLD).split()
+
+
+def small(batches: Iterator[pa.RecordBatch], text: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with about ``size`` bytes in column ``text``; one row at least. Bounds what a task makes of its rows at once."""
+    for b in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(total):
+            upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
+            yield b.slice(at, upto - at)
+            at = upto

@@ -29,12 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.llm.common import free_name, table, utf8
+from tidemark.llm.common import free_name, small, table, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LITERAL = "\ud800"  # stands for a literal mark inside a word: no text in UTF-8 has it
-CACHE, PAIRS = 400_000, 500_000
+CACHE, PAIRS = 150_000, 150_000
 
 
 class Vocabulary:
@@ -213,32 +213,26 @@ class Encoder:
         return ids, ends
 
 
-def _slices(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """About a million bytes at a time; one text at least."""
-    at = 0
-    while at < len(texts):
-        upto, total = at, 0
-        while upto < len(texts) and (upto == at or total + len(texts[upto]) < size):
-            total += len(texts[upto])
-            upto += 1
-        yield at, [t.decode("utf-8", "replace") for t in texts[at:upto]]
-        at = upto
-
-
-def encode_rows(docs: DataFrame, vocabulary: Vocabulary, name: str = "token_ids") -> DataFrame:
-    """``docs`` with the array of ids in a new column; no shuffle."""
+def encode_rows(docs: DataFrame, vocabulary: Vocabulary, name: str = "token_ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the array of ids in a new column, and the text decoded from it in another if ``decoded`` names one; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     text, out = docs.columns.index("text"), free_name(docs, name)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    fields = [*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]
+    if decoded:
+        fields.append(T.StructField(free_name(docs, decoded), T.StringType()))
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(shared.value)
-        for b in batches:
-            for at, texts in _slices(utf8(b.column(text))):
-                ids, ends = encoder(texts)
-                yield pa.RecordBatch.from_arrays([*b.slice(at, len(texts)).columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], [*b.schema.names, out])
+        v = shared.value
+        encoder = Encoder.of(v)
+        for b in small(batches, text):
+            ids, ends = encoder([t.decode("utf-8", "replace") for t in utf8(b.column(text))])
+            columns = [*b.columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+            if decoded:
+                columns.append(pa.array([v.decode(ids[x:y].tolist()).decode("utf-8", "replace") for x, y in zip(ends[:-1], ends[1:])], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def decode_rows(rows: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", name: str = "decoded") -> DataFrame:
@@ -249,7 +243,7 @@ def decode_rows(rows: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        for b in batches:
+        for b in (w.slice(k, 100) for w in batches for k in range(0, w.num_rows, 100)):
             texts = [v.decode(x or []).decode("utf-8", "replace") for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
 
@@ -263,16 +257,14 @@ def round_trips(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         encoder = Encoder.of(v)
-        for b in batches:
-            raw = utf8(b.column(1))
-            rows = []
-            for at, texts in _slices(raw):
-                ids, ends = encoder(texts)
-                for k in range(len(texts)):
-                    own = ids[ends[k] : ends[k + 1]]
-                    back = v.decode(own.tolist())
-                    rows.append((len(own), hashlib.sha256(own.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == raw[at + k]))
-            n, h, d, ok = zip(*rows) if rows else ((), (), (), ())
+        for b in small(batches, 1):
+            raw, rows = utf8(b.column(1)), []
+            ids, ends = encoder([t.decode("utf-8", "replace") for t in raw])
+            for text, x, y in zip(raw, ends[:-1], ends[1:]):
+                own = ids[x:y]
+                back = v.decode(own.tolist())
+                rows.append((len(own), hashlib.sha256(own.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == text))
+            n, h, d, ok = zip(*rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(d, pa.string()), pa.array(ok, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
