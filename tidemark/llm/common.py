@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,3 +70,19 @@ def small(batches: Iterator[pa.RecordBatch], text: int, size: int = 1 << 20) ->
             upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
             yield b.slice(at, upto - at)
             at = upto
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow and mapInPandas that hands freed memory back when its task ends: workers are reused and share an executor's memory."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped

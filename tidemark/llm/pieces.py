@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.llm.common import free_name, small, table, utf8
+from tidemark.llm.common import free_name, small, table, tidy, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -232,7 +232,7 @@ def encode_rows(docs: DataFrame, vocabulary: Vocabulary, name: str = "token_ids"
                 columns.append(pa.array([v.decode(ids[x:y].tolist()).decode("utf-8", "replace") for x, y in zip(ends[:-1], ends[1:])], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, T.StructType(fields))
+    return docs.mapInArrow(tidy(run), T.StructType(fields))
 
 
 def decode_rows(rows: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", name: str = "decoded") -> DataFrame:
@@ -247,7 +247,7 @@ def decode_rows(rows: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids",
             texts = [v.decode(x or []).decode("utf-8", "replace") for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def round_trips(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -268,7 +268,7 @@ def round_trips(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(d, pa.string()), pa.array(ok, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
