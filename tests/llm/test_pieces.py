@@ -32,6 +32,13 @@ def test_same_ids_as_the_library(spark, vocabulary):
         assert vocabulary.decode(own) == t.encode()
 
 
+def test_cache_may_shrink(monkeypatch, vocabulary):
+    monkeypatch.setattr(x, "CACHE", 20)
+    lib, encoder = sentencepiece.SentencePieceProcessor(model_file=x.MODEL), x.Encoder(vocabulary)
+    for t in fuzz(random.Random(8), 400):
+        assert encoder([t])[0].tolist() == lib.encode(t), t
+
+
 def test_unigram_viterbi_same_as_the_library(tmp_path):
     """The same pieces read as a unigram model, with scores that make sums differ."""
     m = pb.ModelProto()

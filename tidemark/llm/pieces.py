@@ -56,6 +56,8 @@ class Vocabulary:
 
     def _setup(self) -> None:
         self.pairs: dict[tuple[str, str], bool] = {}
+        #: No piece has a line feed, so that lines encode independently.
+        self.lines = not any("\n" in p for p in self.ids)
         #: Pieces that merging can make of their own characters.
         self.whole = {p for p in self.ids if not self.bpe or self.merged(p) == [p]}
         #: Their endings: a walk back from a place stops where no piece ends so.
@@ -106,11 +108,24 @@ class Vocabulary:
             return []
         if MARK in text:
             text = text.replace(MARK, LITERAL)
-        if self.dummy_prefix:
-            if "  " not in text and text[0] != " " and text[-1] != " ":
+        if self.dummy_prefix and "  " not in text and text[0] != " ":
+            if not self.lines or "\n" not in text:
                 return [MARK + w for w in text.split(" ")]
+            out = []
+            for k, line in enumerate(text.split("\n")):
+                words = line.split(" ")
+                if k:
+                    out.append("\n")
+                    if words[0]:
+                        out.append(words[0])
+                    out += [MARK + w for w in words[1:]]
+                else:
+                    out += [MARK + w for w in words]
+            return out
+        if self.dummy_prefix:
             text = " " + text
-        return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text.replace(" ", MARK))
+        text = text.replace(" ", MARK)
+        return re.findall(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if self.lines else f"{MARK}*[^{MARK}]+|{MARK}+", text)
 
     def encode_sorted(self, words: list[str]) -> list[list[int]]:
         """Ids of distinct words in sorted order, by one walk through their trie."""
@@ -189,12 +204,23 @@ class Encoder:
     def clear(self) -> None:
         self.number: defaultdict[str, int] = defaultdict()
         self.number.default_factory = self.number.__len__
-        self.flat, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.begin, self.uses = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        """Keeps the half of the words that was used most."""
+        words, keep = list(self.number), np.sort(np.argsort(-self.uses, kind="stable")[: CACHE // 2])
+        size = self.begin[keep + 1] - self.begin[keep]
+        end = np.cumsum(size)
+        flat, uses = self.flat[np.repeat(self.begin[keep] - (end - size), size) + np.arange(int(size.sum()))], self.uses[keep] // 2
+        self.clear()
+        self.flat, self.begin, self.uses = flat, np.r_[0, end], uses
+        for k in keep.tolist():
+            self.number[words[k]]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets)."""
         if len(self.number) > CACHE:
-            self.clear()
+            self.shrink()
         have = len(self.number)
         docs = [np.fromiter(map(self.number.__getitem__, self.vocabulary.units(t)), np.int64) for t in texts]
         if len(self.number) > have:
@@ -206,6 +232,9 @@ class Encoder:
             self.flat = np.concatenate([self.flat, np.fromiter((i for c in coded for i in c), np.int32)])
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(c) for c in coded])])
         w = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+        used = np.bincount(w, minlength=len(self.number))
+        used[: len(self.uses)] += self.uses
+        self.uses = used
         size = self.begin[w + 1] - self.begin[w]
         end = np.cumsum(size)
         ids = self.flat[np.repeat(self.begin[w] - (end - size), size) + np.arange(int(size.sum()))]
