@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import bit_filter, table, with_maybe
+from tidemark.llm.common import bit_filter, table, tidy, with_maybe
 from tidemark.sources.shared import written
 
 N, GRAM = 100, 32
@@ -42,6 +42,8 @@ BLOCK = 1 << 18
 MAX_BITS, HOT_BITS = 1 << 27, 1 << 23
 #: Occurrences from which a key is dealt window by window.
 HOT = 1000
+#: Runs that a task holds at once.
+HELD = 40_000
 LAST_ID = (1 << 63) - 1
 _RNG = np.random.default_rng(7)
 _TABLE = _RNG.integers(0, 1 << 64, 256, np.uint64)
@@ -169,7 +171,19 @@ def _segments(n: int, gram: int, again, hot):
                 elif at != old[:3]:
                     gone.append((*at, size + n - 1))
 
+            def out() -> Iterator[pa.RecordBatch]:
+                at = list(first.values())
+                columns = [[v[3] for v in at], [v[0] for v in at], [v[1] for v in at], [v[2] for v in at], [v[4] for v in at], list(first)]
+                for i, t, s, size in merge(gone):
+                    for c, v in zip(columns, (i ^ t, i, t, s, size, None)):
+                        c.append(v)
+                first.clear()
+                gone.clear()
+                yield from pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SEGMENT)], schema=SEGMENT).to_batches(max_chunksize=10_000)
+
             for block, docs, places, bases in blocks(b.column(2), n, gram):
+                if len(first) > HELD:
+                    yield from out()
                 key = block.key
                 change = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
                 size = np.diff(np.r_[change, len(key)])
@@ -192,13 +206,7 @@ def _segments(n: int, gram: int, again, hot):
                         for j in range(0, m, 256):
                             z = min(256, m - j)
                             offer(raw[at + j : at + j + z + n - 1], (i, t, s + j), key1, z)
-            merged = merge(gone)
-            columns = [[v[3] for v in first.values()], [v[0] for v in first.values()], [v[1] for v in first.values()], [v[2] for v in first.values()], [v[4] for v in first.values()], list(first)]
-            for i, t, s, size in merged:
-                for c, v in zip(columns, (i ^ t, i, t, s, size, None)):
-                    c.append(v)
-            table_ = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SEGMENT)], schema=SEGMENT)
-            yield from table_.to_batches(max_chunksize=20_000)
+            yield from out()
 
     return run
 
@@ -279,7 +287,7 @@ def _radix(n: int):
         for b in batches:
             for c, col in zip(held, b.columns):
                 c.extend(col.to_pylist())
-            if len(held[0]) < 30_000:
+            if len(held[0]) < HELD // 3:
                 continue
             cut = len(held[0])
             while cut and held[0][cut - 1] == held[0][-1]:
@@ -312,17 +320,17 @@ def repeated_spans(docs: DataFrame, n: int = N, gram: int | None = None) -> Data
     gram = gram or max(1, min(GRAM, n // 3))
     spark = docs.sparkSession
     d = _known(docs)
-    counted = d.select("text").mapInArrow(_keys(n, gram), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = d.select("text").mapInArrow(tidy(_keys(n, gram)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     counted = written(counted, "suffix-keys")
     many = counted.count()
     bits = min(MAX_BITS, 1 << max(16, (many * 16).bit_length()))
     again, hot = spark.sparkContext.broadcast(_bits(counted, bits)), spark.sparkContext.broadcast(_bits(counted.where(F.col("n") >= HOT), HOT_BITS))
-    seg = d.select("id", "tie", "text").mapInArrow(_segments(n, gram, again, hot), "key long, id long, tie long, start long, size long, bytes binary")
-    return seg.repartition("key").sortWithinPartitions("key", "id", "tie", "start").mapInArrow(_radix(n), "id long, tie long, start long, size long")
+    seg = d.select("id", "tie", "text").mapInArrow(tidy(_segments(n, gram, again, hot)), "key long, id long, tie long, start long, size long, bytes binary")
+    return seg.repartition("key").sortWithinPartitions("key", "id", "tie", "start").mapInArrow(tidy(_radix(n)), "id long, tie long, start long, size long")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (w.slice(k, 1000) for w in batches for k in range(0, w.num_rows, 1000)):
         kept, removed, spans = [], [], []
         for t, starts, sizes in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
             runs = merge([(0, 0, s, z) for s, z in zip(starts, sizes)])
@@ -351,7 +359,7 @@ def remove_repeats(docs: DataFrame, n: int = N, gram: int | None = None) -> Data
     none = F.expr("CAST(array() AS array<bigint>)")
     near = marked.where("_maybe").join(lists, ["id", "tie"], "left").select("doc_id", "text", F.coalesce("starts", none).alias("starts"), F.coalesce("sizes", none).alias("sizes"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cut = near.mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = near.mapInArrow(tidy(_cut), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     whole = marked.where("NOT _maybe").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.encode("text", "UTF-8").alias("kept"))
     return whole.unionByName(cut)
 
