@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import split_words, table, utf8
+from tidemark.llm.common import split_words, table, tidy, utf8
 
 K, PICK, BAND = 3, 2, 16
 COVERAGE = 0.8
@@ -202,7 +202,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, license string, coverage double, matched_words long, start long, end long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, license string, coverage double, matched_words long, start long, end long")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
