@@ -33,8 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their pieces, and the text decoded from these (operator 8)."""
-    vocabulary = pieces.Vocabulary.load(pieces.MODEL)
-    return pieces.decode_rows(pieces.encode_rows(docs, vocabulary), vocabulary)
+    return pieces.encode_rows(docs, pieces.Vocabulary.load(pieces.MODEL), decoded="decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.common import bit_filter, free_name, table, with_maybe
+from tidemark.sources.shared import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))  # after lower-casing
@@ -112,6 +113,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "docum
         raise ValueError("mode is document or span")
     cols = docs.columns
     bad = annotate(docs, benchmark, n).where(F.size("spans") > 0).select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k"), F.col("spans").alias("_spans")).dropDuplicates(["_i", "_k"])
+    bad = written(bad, "contaminated")  # read twice below
     m = free_name(docs, "_maybe")
     marked = with_maybe(docs, bit_filter(bad, F.col("_k")), F.xxhash64("text"), m)
     clear, near = marked.where(~F.col(m)).select(*cols), marked.where(F.col(m))
