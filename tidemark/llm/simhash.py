@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import bit_filter, free_name, table, utf8, with_maybe
+from tidemark.llm.common import bit_filter, free_name, small, table, tidy, utf8, with_maybe
 from tidemark.sources.shared import cut_lineage, written
 
 SEED, RADIUS, SHINGLE = 42, 3, 3
@@ -67,11 +67,11 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 1, 4 << 20):
             fp = np.array([fingerprint(t, k) for t in utf8(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def gray_rank(x: Column) -> Column:
@@ -215,7 +215,7 @@ def _edges(units: DataFrame, words: list[str], radius: int) -> DataFrame:
             yield solve(tuple(map(np.concatenate, zip(*held))))
 
     dealt = units.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "rank")
-    return dealt.mapInPandas(run, "u long, v long")
+    return dealt.mapInPandas(tidy(run), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def similar(docs: DataFrame, k: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, c
     picked = orders(turns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 2, 4 << 20):
             bits = np.array([wide_fingerprint(t, k) for t in utf8(b.column(2))], np.uint8).reshape(-1, 64 * WIDE)
             fp = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
             tops = np.packbits(bits[:, picked], axis=2, bitorder="big").view(">i8").astype(np.int64).reshape(len(bits), turns)
@@ -312,7 +312,7 @@ def similar(docs: DataFrame, k: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, c
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text"))
     schema = "doc_id long, tie long, " + ", ".join(f"{w} long" for w in WORDS) + ", turns array<long>"
-    fps = written(d.mapInArrow(run, schema).withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
+    fps = written(d.mapInArrow(tidy(run), schema).withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
     reps = written(fps.groupBy(*WORDS).agg(F.min("node").alias("rep"), F.min("turns").alias("turns")), "simhash-wide-reps")
     edges = _edges(_units(reps, F.col("turns"), top, WORDS, chunk), WORDS, radius)
     comp = components(edges)
