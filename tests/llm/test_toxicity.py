@@ -66,8 +66,8 @@ def test_windows_cover_every_word():
 
 
 def test_long_text_is_scored_to_its_end(spark):
-    texts = [b"you vile worm" if i % 2 else b"a kind word" for i in range(80)]
-    model = x.fit_texts([t + b" filler text here" * 3 for t in texts], [i % 2 for i in range(80)])
+    texts = [b"you vile worm" if i % 2 else b"" for i in range(600)]
+    model = x.fit_texts([t + b" filler text here" * 3 for t in texts], [i % 2 for i in range(600)])
     s = x.Scorer(model)([b"filler text here " * 5000 + b"you vile worm", b"filler text here " * 5000, b"", b"...", b"you vile worm" + b" filler text here" * 3])
     assert s[0] > s[1] + 0.2 and s[4] > s[1] + 0.2 and s[2] == s[3]
 

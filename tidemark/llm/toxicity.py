@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import split_words, table, utf8
+from tidemark.llm.common import small, split_words, table, tidy, utf8
 
 MAX_DOCS = 3000
 WINDOW, STRIDE = 32, 16
@@ -38,8 +38,8 @@ HIDDEN, ATT = 8, 8
 WORD_DIM, CHAR_DIM = 4, 4
 WORD_SLOTS, CHAR_SLOTS = 1 << 18, 1 << 17
 THRESHOLD = 0.7
-ROUNDS, EPOCHS, BATCH, RATE = 4, 3, 128, 0.01
-CACHE = 200_000
+ROUNDS, EPOCHS, BATCH, RATE = 3, 3, 128, 0.01
+CACHE = 120_000
 INPUTS = 3 + WORD_DIM + CHAR_DIM
 
 
@@ -54,8 +54,12 @@ def word_slots(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.int64, len(words)) & (WORD_SLOTS - 1)
 
 
-def char_slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all 3- to 5-grams of ``<word>`` by code points, and where each word's begin."""
+def char_slots(words: list[bytes], part: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all 3- to 5-grams of ``<word>`` by code points, and where each word's begin; some words at a time."""
+    if len(words) > part:
+        cut = [char_slots(words[k : k + part]) for k in range(0, len(words), part)]
+        base = np.cumsum([0, *(len(s) for s, _ in cut)])
+        return np.concatenate([s for s, _ in cut]), np.concatenate([a + b for (_, a), b in zip(cut, base)])
     text = "".join(f"\x01{w.decode('utf-8', 'replace')}\x02" for w in words)
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     begin = np.flatnonzero(c == 1)
@@ -72,7 +76,7 @@ def char_slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             slots.append(((h[ok] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) & (CHAR_SLOTS - 1))
             owner.append(word[: len(h)][ok])
     # A word of one letter has a 3-gram with its marks, so none is without.
-    slots_, owner_ = np.concatenate(slots), np.concatenate(owner)
+    slots_, owner_ = np.concatenate(slots).astype(np.int32), np.concatenate(owner)
     order = np.argsort(owner_, kind="stable")
     return slots_[order], np.searchsorted(owner_[order], np.arange(len(words)))
 
@@ -101,6 +105,20 @@ def log_odds(tox: np.ndarray, clean: np.ndarray, n_tox: float, n_clean: float) -
     return (raw * seen / (seen + 4) / 4).astype(np.float32)
 
 
+def ragged(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, ... for ``size[0]`` places, then from at[1], and so on."""
+    end = np.cumsum(size)
+    return np.repeat(at - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
+
+
+def summed(slots: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots and the sums of their rows."""
+    order = np.argsort(slots, kind="stable")
+    slots = slots[order]
+    first = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]]) if len(slots) else np.zeros(0, np.int64)
+    return slots[first], np.add.reduceat(values[order], first, axis=0) if len(first) else values[:0]
+
+
 # network ------------------------------------------------------------------
 
 
@@ -261,7 +279,7 @@ def fit_texts(texts: list[bytes], labels: list[int], seed: int = 0) -> Model:
     ends = np.r_[at[1:], len(cs)]
     w_count, c_count = np.zeros((2, WORD_SLOTS), np.float32), np.zeros((2, CHAR_SLOTS), np.float32)
     own = [np.unique(d) for d in docs]
-    grams = lambda u: np.concatenate([np.arange(a, b) for a, b in zip(at[u], ends[u])]) if len(u) else np.zeros(0, np.int64)
+    grams = lambda u: ragged(at[u], ends[u] - at[u])
     for u, lab in zip(own, labels):
         w_count[int(lab), np.unique(ws[u])] += 1
         c_count[int(lab), np.unique(cs[grams(u)])] += 1
@@ -287,8 +305,8 @@ def fit_texts(texts: list[bytes], labels: list[int], seed: int = 0) -> Model:
 
     def input_rows(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         w = word_of[r]
-        g = np.concatenate([np.arange(a, b) for a, b in zip(at[w], ends[w])]) if len(w) else np.zeros(0, np.int64)
         n = ends[w] - at[w]
+        g = ragged(at[w], n)
         x = np.concatenate([odds[r], net.p["word"][ws[w]], np.add.reduceat(net.p["char"][cs[g]], np.cumsum(n) - n) / n[:, None]], 1) if len(w) else np.zeros((0, INPUTS), np.float32)
         return x.astype(np.float32), w, g, n
 
@@ -317,16 +335,15 @@ def fit_texts(texts: list[bytes], labels: list[int], seed: int = 0) -> Model:
                 dlogit = ((sigmoid(logit) - target) / len(pick)).astype(np.float32)
                 grad, dx = net.backward(dlogit, inv, kept)
                 dg = np.zeros((len(x) + 1, 6 * HIDDEN), np.float32)
-                np.add.at(dg, inv.ravel(), dx.reshape(-1, 6 * HIDDEN))
+                used, total = summed(inv.ravel(), dx.reshape(-1, 6 * HIDDEN))
+                dg[used] = total
                 dg, h = dg[:-1], HIDDEN
                 fcol = np.r_[0:h, 2 * h : 3 * h, 4 * h : 5 * h]
                 df, db = dg[:, fcol], dg[:, fcol + h]
                 grad |= {"wf": x.T @ df, "wb": x.T @ db, "bf": df.sum(0), "bb": db.sum(0)}
                 dx_in = df @ net.p["wf"].T + db @ net.p["wb"].T
                 for name, slots, d in (("word", ws[w], dx_in[:, 3 : 3 + WORD_DIM]), ("char", cs[g], np.repeat(dx_in[:, 3 + WORD_DIM :] / np.maximum(n, 1)[:, None], n, 0))):
-                    u, where = np.unique(slots, return_inverse=True)
-                    total = np.zeros((len(u), d.shape[1]), np.float32)
-                    np.add.at(total, where, d)
+                    u, total = summed(slots, d)
                     grad[name] = (u, total + 1e-5 * net.p[name][u])
                 adam.step(net.p, grad, RATE * (1 - 0.8 * turn / ROUNDS))
     return model
@@ -400,10 +417,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in batches:
+        for b in small(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer(utf8(b.column(1))))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -413,10 +430,10 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in batches:
+        for b in small(batches, text):
             yield b.filter(pa.array(scorer(utf8(b.column(text))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
