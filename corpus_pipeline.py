@@ -13,6 +13,7 @@ from tidemark.sources.shared import written
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network trained on the labels scores below the threshold (operator 9)."""
+    lean(spark)
     return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -23,6 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts similar in five-word shingles, 0.8 or more (operator 2)."""
+    lean(spark)
     return simhash.keep_one(docs)
 
 
@@ -33,6 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their pieces, and the text decoded from these (operator 8)."""
+    lean(spark)
     return pieces.encode_rows(docs, pieces.Vocabulary.load(pieces.MODEL), decoded="decoded")
 
 
@@ -47,6 +50,11 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
+def lean(spark: SparkSession) -> None:
+    """Batches of a thousand rows to Python: an executor holds few texts twice."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:

@@ -73,16 +73,20 @@ def small(batches: Iterator[pa.RecordBatch], text: int, size: int = 1 << 20) ->
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` for mapInArrow and mapInPandas that hands freed memory back when its task ends: workers are reused and share an executor's memory."""
+    """``run`` for mapInArrow and mapInPandas that hands freed memory back before and after its task: workers are reused, and share an executor's memory."""
+
+    def release() -> None:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
     def wrapped(batches: Iterator) -> Iterator:
+        release()  # what the worker's last task and its broadcasts have left
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            release()
 
     return wrapped

@@ -39,7 +39,7 @@ WORD_DIM, CHAR_DIM = 4, 4
 WORD_SLOTS, CHAR_SLOTS = 1 << 18, 1 << 17
 THRESHOLD = 0.7
 ROUNDS, EPOCHS, BATCH, RATE = 3, 3, 128, 0.01
-CACHE = 120_000
+CACHE = 80_000
 INPUTS = 3 + WORD_DIM + CHAR_DIM
 
 
