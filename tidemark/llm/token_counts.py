@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import table, utf8
+from tidemark.llm.common import table, tidy, utf8
 from tidemark.sources.fs import Files
 from tidemark.sources.shared import scratch, written
 
@@ -64,7 +64,7 @@ def count_tokens(docs: DataFrame, version: str, counter: Callable[[list[str]], l
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64())], ["doc_id", "source", "lang", "tokens"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text")
-    return d.mapInArrow(run, "doc_id long, source string, lang string, tokens long").withColumn("version", F.lit(version))
+    return d.mapInArrow(tidy(run), "doc_id long, source string, lang string, tokens long").withColumn("version", F.lit(version))
 
 
 class Ledger:
@@ -134,15 +134,15 @@ class Ledger:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str, folder: str = FOLDER) -> DataFrame:
-    """All documents are counted; labelled toxic ones are deleted; texts that aren't English get a revised count by
-    another tokenizer; the first batch is sent twice."""
+    """All documents are counted; texts that aren't English get a revised count by another tokenizer; labelled toxic
+    documents are deleted; the first batch is sent twice. No batch shuffles texts."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     ledger = Ledger(spark, scratch(spark, "tokens"))
     first = count_tokens(docs, "byte_bpe_50k", RankCounter(f"{folder}/byte_bpe_50k.tiktoken"))
     ledger.apply("load", first)
+    other = docs.where("lang <> 'en'")
+    ledger.apply("recount", count_tokens(other, "byte_bpe_multi_50k", RankCounter(f"{folder}/byte_bpe_multi_50k.tiktoken")))
     ledger.apply("takedown", deletes=labels.where("toxic = 1").select("doc_id"))
-    kept = docs.where("lang <> 'en'").join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
-    ledger.apply("recount", count_tokens(kept, "byte_bpe_multi_50k", RankCounter(f"{folder}/byte_bpe_multi_50k.tiktoken")))
     ledger.apply("load", first)
     ledger.compact()
     return ledger.totals()
