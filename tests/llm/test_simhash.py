@@ -129,3 +129,39 @@ def test_keep_one_edges(spark):
     kept = x.keep_one(df).collect()
     assert sorted(((r["doc_id"], (r["text"] or "")[:5]) for r in kept), key=str) == sorted([(1, ""), (3, "a b"), (3, "other"), (5, "z z z")], key=str)
     assert x.keep_one(df.limit(0)).count() == 0
+
+
+def groups_of(texts, least=0.8):
+    """Least row number that pairs of true similarity connect each text to."""
+    sh = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    root = lambda i: i if label[i] == i else root(label[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sh[i], sh[j]) >= least:
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+def lone_pairs(rng, n):
+    """Texts in pairs without a third copy, at similarities about 0.7 to 0.9, with a common paragraph in some."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    common, out = [word() for _ in range(60)], []
+    for i in range(n):
+        base = [word() for _ in range(rng.randrange(8, 400))] + (common if i % 3 == 0 else [])
+        w = list(base)
+        at = rng.randrange(len(w))
+        cut = max(1, round(len(w) * rng.uniform(0.04, 0.14)))
+        w[at : at + cut] = [word() for _ in range(cut)]
+        out += [" ".join(base), " ".join(w)]
+    return out
+
+
+@pytest.mark.parametrize("chunk,unit", [(x.CHUNK, x.UNIT), (16, 3000)])
+def test_lone_pairs_against_true_similarity(spark, chunk, unit):
+    texts = lone_pairs(random.Random(5), 200)
+    want = {i for i, g in enumerate(groups_of(texts)) if g == i}
+    assert 220 < len(want) < 380
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    assert {r["doc_id"] for r in x.keep_one(df, chunk=chunk, unit=unit).collect()} == want

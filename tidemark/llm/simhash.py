@@ -26,14 +26,13 @@ minimum (its own class is its fingerprint's). Extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.common import bit_filter, free_name, small, table, tidy, utf8, with_maybe
 from tidemark.sources.shared import cut_lineage, written
@@ -99,19 +98,26 @@ def _units(reps: DataFrame, turns: Column, width: int, words: list[str], chunk:
         chunk = max(CHUNK, 4 * reps.count() // (1 << width))
     large = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("bucket", F.ceil(F.col("n") / chunk).cast("int").alias("s"))
     dealt = dealt.join(large, "bucket", "left").withColumn("s", F.coalesce("s", F.lit(1)))
-    own = F.pmod(F.xxhash64(*words), F.col("s")).cast("int")
+    return _cut(dealt, F.xxhash64(*words)).select("bucket", "a", "b", "side", "rank", *words, "rep")
+
+
+def _cut(dealt: DataFrame, by: Column) -> DataFrame:
+    """Deals each bucket in ``s`` chunks by hash and gives each pair of chunks (a, b) its rows with their side; other columns stay."""
+    own = F.pmod(by, F.col("s")).cast("int")
     pairs = F.explode(F.when(F.col("s") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("s") - 1)))
     cut = dealt.withColumn("own", own).select("*", pairs.alias("other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return cut.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), side.cast("byte").alias("side"), "rank", *words, "rep")
+    return cut.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other"), "side": side.cast("byte")}).drop("own", "other", "s")
 
 
-def links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of row numbers within ``radius`` in the same unit.
 
     Rows are sorted by unit and Gray rank; ``fp`` has one or more words of 64 bits a row.
+    ``radius`` may differ by row: that of the querying row holds.
     """
     fp = fp.reshape(len(fp), -1)
+    radius = np.broadcast_to(radius, len(fp))
     rows_i = np.flatnonzero(side >= 1)
     rows_q = np.flatnonzero(side != 1)
     if not len(rows_i) or not len(rows_q):
@@ -150,7 +156,7 @@ def links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> It
         acc = differ(q, len(spans), node)
         at = upto
         for k in range(len(spans) - 1, -1, -1):
-            ok = acc <= radius
+            ok = acc <= radius[q]
             q, node, acc = q[ok], node[ok], acc[ok]
             lo, hi = spans[k][0][node], spans[k][1][node]
             n = hi - lo
@@ -158,7 +164,7 @@ def links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> It
             q, acc = np.repeat(q, n), np.repeat(acc, n)
             acc = acc + differ(q, k, node)
         found = rows_i[node]
-        ok = (acc <= radius) & ((q < found) | (side[q] == 0))
+        ok = (acc <= radius[q]) & ((q < found) | (side[q] == 0))
         yield q[ok], found[ok]
 
 
@@ -181,22 +187,26 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return label
 
 
-def _edges(units: DataFrame, words: list[str], radius: int) -> DataFrame:
-    """(u, v), u > v: edges of a spanning forest of each unit's links."""
-    columns = ["bucket", "a", "b", "side", "rep", *words]
+def _edges(units: DataFrame, words: list[str], radius: int | None) -> DataFrame:
+    """(u, v), u > v: edges of a spanning forest of each unit's links. Without a radius ``size`` bounds it: links are then all pairs that may be similar."""
+    columns = ["bucket", "a", "b", "side", "rep", *words, *(["size"] if radius is None else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
 
         def solve(cols: tuple) -> pd.DataFrame:
             bucket, a, b, side, rep = cols[:5]
-            fp = np.stack(cols[5:], axis=1).view(np.uint64)
+            fp = np.stack(cols[5 : 5 + len(words)], axis=1).view(np.uint64)
             unit = np.cumsum(np.r_[False, (bucket[1:] != bucket[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
             some = np.bincount(unit)[unit] > 1
             unit, side, fp, rep = unit[some], side[some], fp[some], rep[some]
             if not len(unit):
                 return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
-            label = forest(len(unit), links(unit, side, fp, radius))
+            if radius is None:
+                size = cols[-1][some]
+                label = forest(len(unit), alike(links(unit, side, fp, size // 4), size, fp))
+            else:
+                label = forest(len(unit), links(unit, side, fp, radius))
             linked = np.flatnonzero(label != np.arange(len(label)))
             x, y = rep[linked], rep[label[linked]]
             return pd.DataFrame({"u": np.maximum(x, y), "v": np.minimum(x, y)})
@@ -253,40 +263,49 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, chu
 
 # Similar texts -------------------------------------------------------------
 #
-# At a Jaccard similarity of 0.8 about 15 % of a SimHash's bits differ, ten of 64, too
-# many for disjoint blocks. The wide form has 256 bits, links at most ``WIDE_RADIUS`` of
-# them (0.8 and a margin for the estimate's spread), and puts fixed samples of bits on
-# top one after another. Samples grow with the logarithm of the rows, so that groups
-# stay small, and their number follows: a pair at 0.8 agrees in one of them, and so
-# meets, in ``MEET`` of all cases, at 0.9 nearly always; groups of copies are joined by
-# any chain of such pairs.
-
-WIDE, WIDE_RADIUS, WIDE_SHINGLE, MEET, LIKE = 4, 44, 5, 0.95, 0.85
+# Texts are similar at a Jaccard index of their sets of word shingles of 0.8 or
+# more, so that of n and m shingles 9 * common >= 4 * (n + m). A pair is neither
+# missed nor linked by an estimate, at any number of rows:
+#
+# 1. Candidates. Each set's shingles stand in one order for all texts, frequent ones
+#    last. Of n, a similar text has all but n / 5, so that the first n - ceil(4n / 5) + 1
+#    of both texts have one in common: these are the buckets. The frequent ones are
+#    counted in a bounded sample; any order gives the same result.
+# 2. In a bucket the Gray index searches sketches of 512 bits, each the parity of the
+#    shingles that fall on it. One shingle more or less turns one bit, so that sketches
+#    of similar texts differ in (n + m) / 9 bits at most; pairs beyond that are dropped.
+# 3. Texts that candidate pairs connect meet again, with their words, and only pairs
+#    whose sets are similar become edges. Large groups are cut in chunks, each pair of
+#    chunks a unit, by the number of shingles.
+
+WIDE, WIDE_RADIUS, WIDE_SHINGLE = 4, 44, 5
+SKETCH = [f"w{i}" for i in range(8)]
+#: Shingles of a chunk: 8 bytes each.
+UNIT = 1_000_000
+#: Texts in the sample, times a shingle must be in it, and most shingles that are held as frequent.
+SAMPLE, OFTEN, MAX_FREQUENT = 20_000, 4, 1 << 16
 _SALTS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-WORDS = [f"w{i}" for i in range(WIDE)]
 
 
-def samples(rows: int) -> tuple[int, int]:
-    """(bits of a sample, number of samples) for so many rows; 16 and 39 up to 16 million."""
-    top = min(32, max(16, rows.bit_length() - 8))
-    return top, math.ceil(math.log(1 - MEET) / math.log(1 - LIKE**top))
+def shingles(text: bytes, k: int = WIDE_SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; one of the whole text if it has k words or fewer."""
+    words = text.lower().split()
+    h, join = xxhash.xxh64_intdigest, b" ".join
+    if len(words) <= k:
+        return np.array([h(join(words), SEED)], np.uint64)
+    return np.unique(np.fromiter((h(join(s), SEED) for s in zip(*(words[i:] for i in range(k)))), np.uint64, len(words) - k + 1))
 
 
-def orders(turns: int) -> np.ndarray:
-    """For each sample 64 of the bits, those on top first."""
-    return np.stack([np.random.default_rng(1000 + i).permutation(64 * WIDE)[:64] for i in range(turns)])
+def first_ones(n: int) -> int:
+    """Of n shingles in order, so many of which a similar text has one among its own."""
+    return n - (4 * n + 4) // 5 + 1
 
 
 def wide_fingerprint(text: bytes, k: int = WIDE_SHINGLE) -> np.ndarray:
-    """256 bits over distinct word shingles, as zeros and ones."""
-    words = text.lower().split()
-    if not words:
+    """256 bits over distinct word shingles, as zeros and ones. An estimate only: it decides nothing in ``keep_one``."""
+    if not text.split():
         return np.zeros(64 * WIDE, np.uint8)
-    h, join = xxhash.xxh64_intdigest, b" ".join
-    if len(words) <= k:
-        hashes = np.array([h(join(words), SEED)], np.uint64)
-    else:
-        hashes = np.unique(np.array([h(join(s), SEED) for s in zip(*(words[i:] for i in range(k)))], np.uint64))
+    hashes = shingles(text, k)
     ones = np.zeros(64 * WIDE, np.int64)
     for a in range(0, len(hashes), 16384):
         part = hashes[a : a + 16384, None] ^ _SALTS
@@ -297,28 +316,141 @@ def wide_fingerprint(text: bytes, k: int = WIDE_SHINGLE) -> np.ndarray:
     return (ones * 2 > len(hashes)).astype(np.uint8)
 
 
-def similar(docs: DataFrame, k: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, chunk: int | None = None) -> DataFrame:
-    """(doc_id, tie, keeper): a row per distinct document (doc_id and hash of the text); keeper marks the one of each group that stays, the least."""
-    top, turns = samples(docs.count())
-    picked = orders(turns)
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    bits = np.bincount((hashes >> np.uint64(7)).astype(np.int64) & (64 * len(SKETCH) - 1), minlength=64 * len(SKETCH)) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def alike(pairs: Iterator[tuple[np.ndarray, np.ndarray]], size: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs whose sizes and sketches allow similar texts."""
+    for q, r in pairs:
+        n, m = size[q], size[r]
+        ok = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (np.bitwise_count(fp[q] ^ fp[r]).sum(axis=1, dtype=np.int64) * 9 <= n + m)
+        yield q[ok], r[ok]
+
+
+def similar_sets(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+    """Least row number that similar pairs connect each set to. Pairs are of two rows of side 2, or of sides 0 and 1."""
+    label = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(counts), np.int64)
+    place[np.argsort(counts, kind="stable")] = np.arange(len(counts))  # rare ones first
+    ranks = [np.sort(r) for r in np.split(place[inverse], np.cumsum([len(x) for x in sets])[:-1])]
+    index: dict[int, list[int]] = {}
+    for x in sorted(range(len(ranks)), key=lambda i: len(ranks[i])):
+        own, n = ranks[x], len(ranks[x])
+        head = own[: first_ones(n)].tolist()
+        near = np.array([y for r in head for y in index.get(r, ())], np.int64)
+        if len(near):
+            near, times = np.unique(near, return_counts=True)
+            for y in near[np.argsort(-times, kind="stable")].tolist():
+                m = len(ranks[y])
+                if 5 * m < 4 * n or (side[x] != 2 and side[x] == side[y]):
+                    continue
+                a, b = root(x), root(y)
+                if a != b and 9 * len(np.intersect1d(own, ranks[y], assume_unique=True)) >= 4 * (n + m):
+                    label[max(a, b)] = min(a, b)
+        for r in head:
+            index.setdefault(r, []).append(x)
+    return np.array([root(x) for x in range(len(label))])
+
+
+def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, times) of shingles that a sample of the texts has often: only an order comes from them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 0):
+            found = [shingles(t, k).view(np.int64) for t in utf8(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["h"])
+
+    part = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(max(1, docs.count() // SAMPLE))) == 0
+    n = docs.where(part).select("text").mapInArrow(tidy(run), "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    got = n.orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).toArrow()
+    h, c = got.column("h").to_numpy().view(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def _sketched(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, tie, size, d0, d1, sketch, heads, node): digests of the set and its buckets."""
+    known = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, times = known.value
         for b in small(batches, 2, 4 << 20):
-            bits = np.array([wide_fingerprint(t, k) for t in utf8(b.column(2))], np.uint8).reshape(-1, 64 * WIDE)
-            fp = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-            tops = np.packbits(bits[:, picked], axis=2, bitorder="big").view(">i8").astype(np.int64).reshape(len(bits), turns)
-            ends = pa.array(np.arange(len(bits) + 1, dtype=np.int32) * turns)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(fp[:, i]) for i in range(WIDE)), pa.ListArray.from_arrays(ends, pa.array(tops.ravel()))], ["doc_id", "tie", *WORDS, "turns"])
+            size, digests, words, heads = [], [], [], []
+            for t in utf8(b.column(2)):
+                s = shingles(t, k)
+                size.append(len(s))
+                raw = s.tobytes()
+                digests.append((xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2)))
+                words.append(sketch(s))
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                    s = s[np.argsort(np.where(often[at] == s, times[at], 0), kind="stable")]
+                heads.append(s[: first_ones(len(s))].view(np.int64))
+            d, w = np.array(digests, np.uint64).view(np.int64), np.stack(words)
+            ends = pa.array(np.cumsum([0, *map(len, heads)]).astype(np.int32))
+            columns = [pa.array(size, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), *(pa.array(w[:, i]) for i in range(len(SKETCH))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(heads)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "tie", "size", "d0", "d1", *SKETCH, "heads"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text"))
-    schema = "doc_id long, tie long, " + ", ".join(f"{w} long" for w in WORDS) + ", turns array<long>"
-    fps = written(d.mapInArrow(tidy(run), schema).withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
-    reps = written(fps.groupBy(*WORDS).agg(F.min("node").alias("rep"), F.min("turns").alias("turns")), "simhash-wide-reps")
-    edges = _edges(_units(reps, F.col("turns"), top, WORDS, chunk), WORDS, radius)
-    comp = components(edges)
-    known = reps.join(comp, reps["rep"] == comp["node"], "left").select(*WORDS, F.coalesce("component", "rep").alias("component"))
-    # Words are never null, so that equal fingerprints meet.
-    rows = written(fps.select("doc_id", "tie", *WORDS).join(known, WORDS).select("doc_id", "tie", "component"), "simhash-wide-classes")
+    schema = "doc_id long, tie long, size long, d0 long, d1 long, " + ", ".join(f"{w} long" for w in SKETCH) + ", heads array<long>"
+    return written(d.mapInArrow(tidy(run), schema).withColumn("node", F.monotonically_increasing_id()), "similar-sketches")
+
+
+def _candidates(reps: DataFrame, chunk: int) -> DataFrame:
+    """(node, component) of texts that pairs which may be similar connect."""
+    dealt = reps.select("rep", F.explode("heads").alias("bucket")).withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
+    dealt = dealt.join(reps.select("rep", "size", *SKETCH), "rep").withColumn("s", F.ceil(F.col("n") / chunk).cast("int"))
+    units = _cut(dealt.withColumn("rank", gray_rank(F.col(SKETCH[0]))), F.xxhash64("rep"))
+    return components(_edges(units.drop("n"), SKETCH, None))
+
+
+def _similar_edges(texts: DataFrame, k: int) -> DataFrame:
+    """(u, v), u > v: edges of a spanning forest of each unit's similar pairs, for rows (component, a, b, side, node, text)."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("node").sort_values("node")
+        node = frame["node"].to_numpy()
+        label = similar_sets([shingles(t, k) for t in frame["text"]], frame["side"].to_numpy())
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        return pd.DataFrame({"u": node[linked], "v": node[label[linked]]})
+
+    raw = texts.withColumn("text", F.coalesce("text", F.lit("")).cast("binary"))
+    return raw.groupBy("component", "a", "b").applyInPandas(run, "u long, v long")
+
+
+def _picked(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, str, Column]:
+    """(docs, the name of a marking column in it, condition to join ``keys`` on): only marked rows can be among the keys (doc_id and hash of the text)."""
+    m = free_name(docs, "_maybe")
+    key = F.struct(F.col("doc_id").cast("long").alias("a"), F.xxhash64("text").alias("b"))
+    return with_maybe(docs, bit_filter(keys, F.struct(F.col("_i").alias("a"), F.col("_t").alias("b"))), key, m), m, F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_t"))
+
+
+def similar(docs: DataFrame, k: int = WIDE_SHINGLE, chunk: int = CHUNK, unit: int = UNIT) -> DataFrame:
+    """(doc_id, tie, keeper): a row per distinct document (doc_id and hash of the text); keeper marks the one of each group that stays, the least."""
+    rows = _sketched(docs, k)
+    same = ["d0", "d1", "size"]
+    reps = written(rows.groupBy(*same).agg(F.min("node").alias("rep"), *(F.first(c).alias(c) for c in ("heads", *SKETCH))), "similar-reps")
+    comp = _candidates(reps, chunk).where("node IS NOT NULL")
+    comp = comp.unionByName(comp.select(F.col("component").alias("node"), "component")).distinct()
+    asked = written(comp.join(rows.select("node", "size", F.col("doc_id").alias("_i"), F.col("tie").alias("_t")), "node"), "similar-asked")
+    sizes = asked.groupBy("component").agg(F.ceil(F.sum("size") / unit).cast("int").alias("s"))
+    units = _cut(asked.join(sizes, "component"), F.xxhash64("node")).select("component", "a", "b", "side", "node", "_i", "_t")
+    marked, m, on = _picked(docs, asked)
+    edges = _similar_edges(marked.where(F.col(m)).select("doc_id", "text").join(units, on).select("component", "a", "b", "side", "node", "text"), k)
+    linked = components(edges)
+    known = reps.join(linked, reps["rep"] == linked["node"], "left").select(*same, F.coalesce("component", "rep").alias("component"))
+    # These are never null, so that equal sets meet.
+    rows = written(rows.select("doc_id", "tie", *same).join(known, same).select("doc_id", "tie", "component"), "similar-classes")
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tie")).alias("m")).select("component", "m.doc_id", "m.tie")
     first = cut_lineage(first)
     keeper = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tie") == F.col("_t"))
@@ -326,17 +458,14 @@ def similar(docs: DataFrame, k: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, c
     return joined.groupBy("doc_id", "tie").agg(F.max(keeper).alias("keeper"))
 
 
-def keep_one(docs: DataFrame, k: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = WIDE_SHINGLE, chunk: int = CHUNK, unit: int = UNIT) -> DataFrame:
     """``docs`` with one document of each group of similar texts. Only rows near a dropped one are shuffled with their text.
 
     Rows that repeat both doc_id and text count as one document and stay or go together.
     """
     cols = docs.columns
-    gone = written(similar(docs, k, radius).where("NOT keeper").select(F.col("doc_id").alias("_i"), F.col("tie").alias("_t")), "simhash-gone")
-    m = free_name(docs, "_maybe")
-    key = F.struct(F.col("doc_id").cast("long").alias("a"), F.xxhash64("text").alias("b"))
-    marked = with_maybe(docs, bit_filter(gone, F.struct(F.col("_i").alias("a"), F.col("_t").alias("b"))), key, m)
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_t"))
+    gone = written(similar(docs, k, chunk, unit).where("NOT keeper").select(F.col("doc_id").alias("_i"), F.col("tie").alias("_t")), "similar-gone")
+    marked, m, on = _picked(docs, gone)
     return marked.where(~F.col(m)).select(*cols).unionByName(marked.where(F.col(m)).join(gone, on, "left_anti").select(*cols))
 
 
