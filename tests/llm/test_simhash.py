@@ -165,3 +165,14 @@ def test_lone_pairs_against_true_similarity(spark, chunk, unit):
     assert 220 < len(want) < 380
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
     assert {r["doc_id"] for r in x.keep_one(df, chunk=chunk, unit=unit).collect()} == want
+
+
+def test_texts_below_the_similarity_stay(spark):
+    rng = random.Random(3)
+    texts = []
+    for i in range(40):  # 0.67, 0.71, 0.75 and 0.78: only the last word differs
+        base = [f"w{rng.randrange(10**9)}" for _ in range(9 + i % 4)]
+        texts += [" ".join(base), " ".join([*base[:-1], "other"])]
+    assert groups_of(texts) == list(range(len(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert x.keep_one(df).count() == len(texts)
