@@ -176,3 +176,13 @@ def test_texts_below_the_similarity_stay(spark):
     assert groups_of(texts) == list(range(len(texts)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert x.keep_one(df).count() == len(texts)
+
+
+def test_number_of_rows_does_not_decide(spark, monkeypatch):
+    texts = lone_pairs(random.Random(8), 60)
+    want = {i for i, g in enumerate(groups_of(texts)) if g == i}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows in (1, 1 << 40):
+        monkeypatch.setattr(type(df), "count", lambda self, rows=rows: rows)
+        got = {r["doc_id"] for r in x.keep_one(df).collect()}
+        assert got == want
