@@ -58,3 +58,18 @@ def test_trees_against_brute_force(spark):
 def test_repeated_rows_and_empty(spark):
     assert x.format_trees(tree(spark, ROWS * 2), 1).count() == len(brute(ROWS, 1))
     assert x.format_trees(tree(spark, []), 1).count() == 0
+
+
+def test_null_ids_keep_their_messages(spark):
+    rows = [
+        (None, 1, None, "user", "no tree", 1.0), (None, 2, 1, "assistant", "reply", 1.0), (None, 3, 2, "user", "again", 1.0),
+        (7, 1, None, "user", "root", 1.0), (7, None, 1, "assistant", "no id", 5.0), (7, 2, 1, "assistant", "less", 1.0), (None, None, 3, "user", "neither", 0.0), (8, None, None, "user", "alone", 0.0),
+    ]
+    got = {r["tree_id"]: (r["leaf_id"], [t["text"] for t in r["turns"]]) for r in x.format_trees(tree(spark, rows)).collect()}
+    assert got == {None: (None, ["no tree", "reply", "again", "neither"]), 7: (None, ["root", "no id"]), 8: (None, ["alone"])}
+
+
+def test_null_conversation_is_one(spark):
+    c = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "c")], "conv_id long, turn int, role string, text string")
+    got = {r["tree_id"]: [t["text"] for t in r["turns"]] for r in x.format_trees(x.linear(c)).collect()}
+    assert got == {None: ["a", "b"], 1: ["c"]}

@@ -14,8 +14,10 @@ all of them (``<|...|>``, ``</s>``, ``[INST]``) begin with ``<`` or ``[``.
 Defined results: null text and role count as empty; a parent that is missing or is
 the node itself makes a root; nodes whose ancestors form a cycle have no root and no
 path; a null score counts as 0; ties rank by leaf id. node_id is unique within a
-tree; of repeated rows the least (by parent, role, text) stays. Extra columns are
-ignored. An empty table gives no conversations.
+tree; of repeated rows the least (by parent, role, text) stays. A null tree_id is a
+tree of its own, and a null node_id a node of its own in its tree: it has a parent but
+no replies, as a null parent_id makes a root, and ranks before other leaves in ties.
+Extra columns are ignored. An empty table gives no conversations.
 """
 
 from __future__ import annotations
@@ -44,6 +46,13 @@ def unescape(text: Column) -> Column:
     return out
 
 
+def _joined(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on null-safe keys that keeps one copy of them; other columns differ."""
+    right = b.select(*(F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in b.columns))
+    both = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return a.join(right, reduce(lambda x, y: x & y, both), how).drop(*(f"_on_{c}" for c in on))
+
+
 def paths(messages: DataFrame) -> DataFrame:
     """(tree_id, leaf_id, node_id, up): each leaf's path, ``up`` replies above the leaf."""
     link = F.min(F.struct(F.col("parent_id").isNull().alias("n"), "parent_id", F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("t")))
@@ -51,19 +60,19 @@ def paths(messages: DataFrame) -> DataFrame:
     nodes = cut_lineage(nodes)
     known = nodes.select("tree_id", F.col("node_id").alias("up_id"))
     jump = nodes.where("parent_id IS NOT NULL AND NOT parent_id <=> node_id").select("tree_id", "node_id", F.col("parent_id").alias("up_id"))
-    jump = cut_lineage(jump.join(known, ["tree_id", "up_id"], "left_semi").select("tree_id", "node_id", "up_id"))
+    jump = cut_lineage(_joined(jump, known, ["tree_id", "up_id"], "left_semi").select("tree_id", "node_id", "up_id"))
     inner = jump.select("tree_id", F.col("up_id").alias("node_id")).distinct()
-    part = nodes.join(inner, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).cast("long").alias("up"))
+    part = _joined(nodes, inner, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).cast("long").alias("up"))
     total, step = None, 1
     while not jump.isEmpty():
         total = nodes.count() if total is None else total
         hop = jump.select("tree_id", "node_id", "up_id")
         if step > total:  # only cycles have ancestors this far away
-            part = part.join(hop.select("tree_id", F.col("node_id").alias("leaf_id")), ["tree_id", "leaf_id"], "left_anti")
+            part = _joined(part, hop.select("tree_id", F.col("node_id").alias("leaf_id")), ["tree_id", "leaf_id"], "left_anti")
             break
-        part = cut_lineage(part.unionByName(part.join(hop, ["tree_id", "node_id"]).select("tree_id", "leaf_id", F.col("up_id").alias("node_id"), (F.col("up") + step).alias("up"))))
+        part = cut_lineage(part.unionByName(_joined(part, hop, ["tree_id", "node_id"]).select("tree_id", "leaf_id", F.col("up_id").alias("node_id"), (F.col("up") + step).alias("up"))))
         above = hop.select("tree_id", F.col("node_id").alias("up_id"), F.col("up_id").alias("_far"))
-        jump = cut_lineage(hop.join(above, ["tree_id", "up_id"]).select("tree_id", "node_id", F.col("_far").alias("up_id")))
+        jump = cut_lineage(_joined(hop, above, ["tree_id", "up_id"]).select("tree_id", "node_id", F.col("_far").alias("up_id")))
         step *= 2
     return part
 
@@ -74,10 +83,10 @@ def chosen(messages: DataFrame, top: int = 1) -> DataFrame:
     body = messages.groupBy("tree_id", "node_id").agg(
         F.min(F.struct(F.col("parent_id").isNull().alias("n"), "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("m"), F.max("score").alias("score")
     ).select("tree_id", "node_id", "m.role", "m.text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    scored = p.join(body.select("tree_id", "node_id", "score"), ["tree_id", "node_id"]).groupBy("tree_id", "leaf_id").agg(F.sum("score").alias("branch"))
+    scored = _joined(p, body.select("tree_id", "node_id", "score"), ["tree_id", "node_id"]).groupBy("tree_id", "leaf_id").agg(F.sum("score").alias("branch"))
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("branch"), "leaf_id"))  # cut to ``top`` in each task first
     best = scored.withColumn("rank", rank).where(F.col("rank") <= top).select("tree_id", "leaf_id", "rank")
-    turns = p.join(best, ["tree_id", "leaf_id"]).join(body, ["tree_id", "node_id"])
+    turns = _joined(_joined(p, best, ["tree_id", "leaf_id"]), body.drop("score"), ["tree_id", "node_id"])
     order = F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("pos"), "role", "text")))
     return turns.groupBy("tree_id", "leaf_id", "rank").agg(order.alias("turns"))
 
