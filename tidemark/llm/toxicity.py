@@ -8,10 +8,12 @@ unit scores the window. All windows, which overlap by half, are scored; a docume
 score is its highest.
 
 Training takes at most ``MAX_DOCS`` labelled documents, half of them of each class
-where there are enough, the least by hash of doc_id; rows that are held out
-(crc32 of doc_id as text, modulo 3, is 1) are never read for it. Only documents are
-labelled, so each round trains on the windows that the last round scored highest.
-The log odds of a training document leave that document out.
+where there are enough, the least by hash of doc_id, and of these at most
+``MAX_BYTES`` of whole texts; rows that are held out (crc32 of doc_id as text, modulo
+3, is 1) are never read for it. It runs in one task, whose only result, the
+parameters, has a fixed size. Only documents are labelled, so each round trains on
+the windows that the last round scored highest. The log odds of a training document
+leave that document out.
 
 Defined results: a null or empty text is one window without words and gets the score
 of an empty window; null doc_ids are never held out and never used for training;
@@ -22,6 +24,7 @@ columns lang, source and doc_id are no inputs. An empty table gives no rows.
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,13 +35,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.common import small, split_words, table, tidy, utf8
 
-MAX_DOCS = 3000
+MAX_DOCS, MAX_BYTES = 3000, 32 << 20
 WINDOW, STRIDE = 32, 16
 HIDDEN, ATT = 8, 8
 WORD_DIM, CHAR_DIM = 4, 4
 WORD_SLOTS, CHAR_SLOTS = 1 << 18, 1 << 17
 THRESHOLD = 0.7
-ROUNDS, EPOCHS, BATCH, RATE = 3, 3, 128, 0.01
+ROUNDS, EPOCHS, BATCH, RATE = 5, 3, 128, 0.01
 CACHE = 80_000
 INPUTS = 3 + WORD_DIM + CHAR_DIM
 
@@ -260,7 +263,7 @@ class Model:
         ).astype(np.float32)
 
     def score_ids(self, gates: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        parts = [self.net.forward(gates, ids[k : k + 4096]) for k in range(0, len(ids), 4096)]
+        parts = [self.net.forward(gates, ids[k : k + 2048]) for k in range(0, len(ids), 2048)]
         return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
 
@@ -349,16 +352,27 @@ def fit_texts(texts: list[bytes], labels: list[int], seed: int = 0) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
-    """Learns from labelled rows that are not held out; the sample is at most ``max_docs`` documents."""
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model:
+    """Learns from labelled rows that are not held out; the sample is at most ``max_docs`` documents, of ``max_bytes`` together or one of each class."""
     lab = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("_toxic"))
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").join(lab, "doc_id", "left_semi").distinct()
     lab = lab.join(ids, "doc_id", "left_semi")
     one = lambda c: lab.where(F.col("_toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2)
     pick = one(1).unionByName(one(0))
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id").groupBy("doc_id", "_toxic").agg(F.min("text").alias("text"))
-    rows = sorted(text.collect(), key=lambda r: r["doc_id"])  # at most max_docs documents
-    return fit_texts([r["text"].encode() for r in rows], [r["_toxic"] for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels_, left = [], [], [max_bytes // 2, max_bytes // 2]
+        for b in small(batches, 1):
+            for t, y in zip(utf8(b.column(1)), b.column(0).to_pylist()):
+                if left[y] > 0:
+                    texts.append(t)
+                    labels_.append(y)
+                    left[y] -= len(t)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_texts(texts, labels_))], pa.binary())], ["model"])
+
+    rows = text.orderBy(F.xxhash64("doc_id"), "doc_id").select("_toxic", "text").coalesce(1)  # at most max_docs documents
+    return pickle.loads(rows.mapInArrow(tidy(run), "model binary").first()["model"])
 
 
 # scoring ------------------------------------------------------------------
@@ -381,9 +395,9 @@ class Scorer:
         if self.model.net is None:
             return out
         at = 0
-        while at < len(texts):  # about a million bytes at a time; one text at least
+        while at < len(texts):  # about a quarter of a million bytes at a time; one text at least
             upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) < 1 << 20):
+            while upto < len(texts) and (upto == at or size + len(texts[upto]) < 1 << 18):
                 size += len(texts[upto])
                 upto += 1
             if len(self.number) > CACHE:
@@ -394,8 +408,8 @@ class Scorer:
                 new = list(self.number)[have:]
                 if len(self.number) > len(self.table):
                     self.table = np.concatenate([self.gates, np.zeros((len(self.number) * 3 // 2 - have, 6 * HIDDEN), np.float32)])
-                for k in range(0, len(new), 20_000):
-                    part = self.model.net.projected(self.model.inputs(new[k : k + 20_000]))
+                for k in range(0, len(new), 5_000):
+                    part = self.model.net.projected(self.model.inputs(new[k : k + 5_000]))
                     self.table[have + k : have + k + len(part)] = part
                 self.gates = self.table[: len(self.number)]
             n = len(self.number)
