@@ -1,8 +1,11 @@
+from collections import Counter, defaultdict
+
 import corpus_pipeline as p
 
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_exact_dedup import brute as copies
-from tidemark.llm import pieces, simhash, toxicity
+from tests.llm.test_simhash import shingles
+from tidemark.llm import pieces, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -27,10 +30,21 @@ def test_stages_against_brute_force(spark):
         elif name == "exact_dedup":
             assert set(after) == {k for _, k, _, _ in copies(list(before.items()))}
         elif name == "simhash_near_dedup":
-            gone = set(before) - set(after)
-            bits = {i: simhash.wide_fingerprint(t.encode()) for i, t in before.items()}
-            for i in gone:  # each has a neighbour within the radius
-                assert any(j != i and (bits[i] != bits[j]).sum() <= simhash.WIDE_RADIUS for j in before)
+            sets = {i: shingles(t) for i, t in before.items()}
+            at_ = defaultdict(list)
+            for i, sh in sets.items():
+                for x in sh:
+                    at_[x].append(i)
+            like = {i: {j for j, c in Counter(j for x in sh for j in at_[x]).items() if j != i and 9 * c >= 4 * (len(sh) + len(sets[j]))} for i, sh in sets.items()}
+            groups = {}
+            for i in sorted(before):  # least member of each group
+                todo = [] if i in groups else [i]
+                while todo:
+                    j = todo.pop()
+                    if j not in groups:
+                        groups[j] = i
+                        todo += like[j]
+            assert set(after) == set(groups.values()) and len(after) < len(before)
         elif name == "decontamination":
             some = dict(list(before.items())[:150])
             bad = {r[0] for r in contaminated(list(some.items()), items) if r[5]}

@@ -186,3 +186,58 @@ def test_number_of_rows_does_not_decide(spark, monkeypatch):
         monkeypatch.setattr(type(df), "count", lambda self, rows=rows: rows)
         got = {r["doc_id"] for r in x.keep_one(df).collect()}
         assert got == want
+
+
+def test_null_ids_link_and_bridge(spark):
+    fps = [(5, 0x1), (None, 0xF), (9, 0x7F), (None, 0xFF << 40), (None, 0x7F << 40), (3, signed(1 << 63))]
+    df = spark.createDataFrame(fps, "doc_id long, fp long")
+    got = {r["fp"]: r["component"] for r in x.classes(df).collect()}
+    assert got == {0x1: 3, 0xF: 3, 0x7F: 3, 0xFF << 40: None, 0x7F << 40: None, signed(1 << 63): 3}
+
+
+def test_hot_bucket_is_split_by_other_blocks(spark):
+    rng = random.Random(2)
+    fps = sorted({rng.getrandbits(48) for _ in range(20_000)})  # all agree in the top block
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    units = x._units(df, 3, 2048).collect()
+    assert len(units) <= 4 * len(fps) + 4 * len(fps)
+    assert max(__import__("collections").Counter((r["bucket"], r["a"], r["b"]) for r in units).values()) <= 2 * 2048
+
+
+def test_units_hold_each_pair_of_classes(spark):
+    rng = random.Random(4)
+    rows = [(g, i, c) for g, (n, k) in enumerate([(7, 2), (90, 1), (120, 3), (300, 2), (200, 200)]) for i, c in ((1000 * g + i, 0 if k < 50 and rng.random() < 0.9 else rng.randrange(k)) for i in range(n))]
+    df = spark.createDataFrame(rows, "g long, node long, cls long")
+    out = x._dealt(df, "g", 20).collect()
+    units = {}
+    for r in out:
+        units.setdefault((r["g"], r["a"], r["b"]), []).append((r["node"], r["side"]))
+    met = set()
+    for u in units.values():
+        assert len(u) <= 80
+        met |= {frozenset((a, b)) for a, s in u for b, t in u if a != b and (s == t == 2 or {s, t} == {0, 1})}
+    for g, i, c in rows:
+        for h, j, d in rows:
+            if g == h and i < j and (c != d or g == 1):
+                assert frozenset((i, j)) in met
+    # A large class with few others: in proportion.
+    hot = spark.range(4000).selectExpr("1L AS g", "id AS node", "IF(id < 5, id, 5) AS cls")
+    assert x._dealt(hot, "g", 20).count() <= 4000 + 5 * 202
+
+
+def test_hot_group_of_near_copies_with_outsiders(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    base = [word() for _ in range(80)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        w[rng.randrange(80)] = word()
+        texts.append(" ".join(w))
+    for cut in (3, 6, 9, 14, 20):  # about as similar as 0.8 to some of the copies, or less
+        w = list(base)
+        w[:cut] = [word() for _ in range(cut)]
+        texts.append(" ".join(w))
+    want = {i for i, g in enumerate(groups_of(texts)) if g == i}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r["doc_id"] for r in x.keep_one(df, chunk=16, unit=1500).collect()} == want

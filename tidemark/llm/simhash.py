@@ -13,15 +13,18 @@ adds up the differences on each node's own bits, and drops a whole node once the
 passes r; at a leaf the sum is the exact distance. All groups of a batch are searched
 together, level by level, in numpy.
 
-A group larger than a few average groups is cut into chunks by hash, and each pair
-of chunks is a unit of its own, so that no task holds more than two chunks. Units
-return the edges of a spanning forest, fewer than their rows, never all pairs.
+A group larger than a few average groups is split by the other bits' blocks in the
+same way, and only what is then still larger is cut into chunks by hash, each pair of
+chunks a unit of its own, so that no task holds more than two chunks. Units return
+the edges of a spanning forest, fewer than their rows, never all pairs.
 Components are found by alternating large-star and small-star steps on the edges,
 with a reliable checkpoint per round.
 
 Defined results: null and empty texts have fingerprint zero, like all texts without
-words; repeated rows get equal results; a null doc_id is kept out of the components'
-minimum (its own class is its fingerprint's). Extra columns are ignored.
+words; repeated rows get equal results; a document with a null doc_id links and
+connects others like any other, and only its id is left out of the component's least,
+which is null where no document has an id. Extra columns are ignored. An empty table
+gives no rows. ``keep_one`` keeps the least doc_id of a group, a null one last.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.common import bit_filter, free_name, small, table, tidy, utf8, with_maybe
 from tidemark.sources.shared import cut_lineage, written
@@ -90,24 +93,60 @@ def turned(fp: Column, radius: int) -> list[Column]:
     return [rotated(fp, i * width) for i in range(radius + 1)]
 
 
-def _units(reps: DataFrame, turns: Column, width: int, words: list[str], chunk: int | None) -> DataFrame:
-    """(bucket, a, b, side, rank, words, rep): side 2 queries and is searched, 0 only queries, 1 only is searched."""
-    dealt = reps.select(*words, "rep", F.posexplode(turns).alias("turn", "x")).select(*words, "rep", "turn", gray_rank(F.col("x")).alias("rank"))
-    dealt = dealt.withColumn("bucket", F.shiftleft(F.col("turn").cast("long"), 32) + F.shiftrightunsigned("rank", 64 - width)).drop("turn")
-    if chunk is None:
-        chunk = max(CHUNK, 4 * reps.count() // (1 << width))
-    large = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("bucket", F.ceil(F.col("n") / chunk).cast("int").alias("s"))
-    dealt = dealt.join(large, "bucket", "left").withColumn("s", F.coalesce("s", F.lit(1)))
-    return _cut(dealt, F.xxhash64(*words)).select("bucket", "a", "b", "side", "rank", *words, "rep")
-
+def _units(fps: DataFrame, radius: int, chunk: int | None) -> DataFrame:
+    """(bucket, a, b, side, rank, fp): side 2 queries and is searched, 0 only queries, 1 only is searched.
 
-def _cut(dealt: DataFrame, by: Column) -> DataFrame:
-    """Deals each bucket in ``s`` chunks by hash and gives each pair of chunks (a, b) its rows with their side; other columns stay."""
-    own = F.pmod(by, F.col("s")).cast("int")
-    pairs = F.explode(F.when(F.col("s") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("s") - 1)))
-    cut = dealt.withColumn("own", own).select("*", pairs.alias("other"))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return cut.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other"), "side": side.cast("byte")}).drop("own", "other", "s")
+    A bucket of more than ``chunk`` rows is split by the pigeonhole again: its rows agree on a whole block, so
+    that links agree in one of radius + 1 blocks of the other bits, too. Only what then still is larger,
+    fingerprints that agree in two blocks, is dealt in pairs of chunks.
+    """
+    width = 64 // (radius + 1)
+    inner = (64 - width) // (radius + 1)
+    if chunk is None:
+        chunk = max(CHUNK, 4 * fps.count() // (1 << width))
+    turn = lambda x: gray_rank(x)
+    dealt = fps.select("fp", F.posexplode(F.array(*turned(F.col("fp"), radius))).alias("turn", "x"))
+    dealt = dealt.withColumn("bucket", F.shiftleft(F.col("turn").cast("long"), 32) + F.shiftrightunsigned("x", 64 - width))
+    large = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("bucket", F.lit(True).alias("_large"))
+    dealt = dealt.join(large, "bucket", "left")
+    blocks = F.array(*(F.shiftrightunsigned(rotated(F.col("x"), width + i * inner), 64 - inner) for i in range(radius + 1)))
+    small_ = dealt.where("_large IS NULL").select("bucket", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(2).cast("byte").alias("side"), "x", "fp")
+    split = dealt.where("_large").select("bucket", "x", "fp", F.posexplode(blocks).alias("j", "block"))
+    split = split.select(F.xxhash64("bucket", "j", "block").alias("bucket"), "x", "fp", F.lit(0).alias("cls"))
+    again = _dealt(split.withColumn("node", F.col("fp")), "bucket", chunk).select("bucket", "a", "b", "side", "x", "fp")
+    return small_.unionByName(again).select("bucket", "a", "b", "side", turn(F.col("x")).alias("rank"), "fp")
+
+
+def _dealt(rows: DataFrame, by: str, most: int, weight: str | None = None) -> DataFrame:
+    """Adds (a, b, side): rows (node, cls) of a group ``by`` in units of about 2 * ``most`` rows, or of their weight, at most.
+
+    Each pair of rows of different cls meets in a unit, and each pair at all where a group has one cls only or is
+    small. Of a large group the largest cls, whose rows need not meet each other, is cut in chunks, and the other
+    rows in chunks that go to each of those and, by pairs, to each other: with few others the rows dealt grow in
+    proportion.
+    """
+    w = F.sum(weight) if weight else F.count("*")
+    large = rows.groupBy(by).agg(w.alias("_n")).where(F.col("_n") > most).select(by)
+    per = rows.join(large, by, "left_semi").groupBy(by, "cls").agg(w.alias("_c"))
+    per = per.groupBy(by).agg(F.max_by("cls", F.struct("_c", "cls")).alias("_top"), F.max("_c").alias("_ntop"), F.sum("_c").alias("_n"), F.count("*").alias("_k"))
+    per = per.select(
+        by, F.when(F.col("_k") > 1, F.col("_top")).alias("_top"), F.lit(True).alias("_large"), F.ceil(F.col("_ntop") / most).cast("int").alias("_sA"),
+        F.greatest(F.lit(1), F.ceil(F.when(F.col("_k") > 1, F.col("_n") - F.col("_ntop")).otherwise(F.col("_n")) / most)).cast("int").alias("_sB"),
+    )
+    j = rows.join(per, by, "left").withColumns({"_a": F.pmod(F.xxhash64("node"), F.col("_sA")).cast("int"), "_b": F.pmod(F.xxhash64("node", F.lit(1)), F.col("_sB")).cast("int")})
+    unit = lambda a, b, side: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), side.cast("byte").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.transform(
+        upto(F.col("_sB")),
+        lambda o: unit(-1 - F.least(F.col("_b"), o), F.greatest(F.col("_b"), o), F.when(F.col("_b") == o, 2).when(F.col("_b") < o, 0).otherwise(1)),
+    )
+    deals = (
+        F.when(F.col("_large").isNull(), F.array(unit(F.lit(0), F.lit(0), F.lit(2))))
+        .when(F.col("cls") == F.col("_top"), F.transform(upto(F.col("_sB")), lambda o: unit(F.col("_a"), o, F.lit(1))))
+        .when(F.col("_top").isNull(), own)
+        .otherwise(F.concat(F.transform(upto(F.col("_sA")), lambda o: unit(o, F.col("_b"), F.lit(0))), own))
+    )
+    return j.select(*rows.columns, F.explode(deals).alias("_u")).select(*rows.columns, "_u.a", "_u.b", "_u.side")
 
 
 def links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -164,7 +203,7 @@ def links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int | np.n
             q, acc = np.repeat(q, n), np.repeat(acc, n)
             acc = acc + differ(q, k, node)
         found = rows_i[node]
-        ok = (acc <= radius[q]) & ((q < found) | (side[q] == 0))
+        ok = (acc <= radius[q]) & ((q < found) | (side[q] == 0) | (side[found] == 1))
         yield q[ok], found[ok]
 
 
@@ -187,44 +226,58 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return label
 
 
-def _edges(units: DataFrame, words: list[str], radius: int | None) -> DataFrame:
-    """(u, v), u > v: edges of a spanning forest of each unit's links. Without a radius ``size`` bounds it: links are then all pairs that may be similar."""
-    columns = ["bucket", "a", "b", "side", "rep", *words, *(["size"] if radius is None else [])]
+def _unit_of(cols: list[np.ndarray]) -> np.ndarray:
+    """Number of the unit of each row; rows of a unit stand together."""
+    new = np.zeros(len(cols[0]), bool)
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new)
+
+
+def _whole_units(frames: Iterator[pd.DataFrame], by: list[str], least: int) -> Iterator[pd.DataFrame]:
+    """Frames joined and cut so that no unit (equal ``by``, rows in order) is split, of ``least`` rows or more where there are."""
+    held: list[pd.DataFrame] = []
+    rows = 0
+    for f in frames:
+        held.append(f)
+        rows += len(f)
+        if rows < least:
+            continue
+        one = pd.concat(held, ignore_index=True)
+        unit = _unit_of([one[c].to_numpy() for c in by])
+        cut = int(np.searchsorted(unit, unit[-1])) if len(unit) else 0  # the last unit may go on
+        held, rows = [one.iloc[cut:]], len(one) - cut
+        if cut:
+            yield one.iloc[:cut]
+    if held and rows:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _edges(units: DataFrame, words: list[str], radius: int | None, node: str) -> DataFrame:
+    """(u, v), u > v: edges of a spanning forest of each unit's links between rows of different ``node``.
+
+    Without a radius, ``size`` bounds it, rows of one ``cls`` aren't linked, and links are all pairs that may be similar.
+    """
+    columns = ["bucket", "a", "b", "side", "rank", *dict.fromkeys([node, *words]), *(["size", "cls"] if radius is None else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-
-        def solve(cols: tuple) -> pd.DataFrame:
-            bucket, a, b, side, rep = cols[:5]
-            fp = np.stack(cols[5 : 5 + len(words)], axis=1).view(np.uint64)
-            unit = np.cumsum(np.r_[False, (bucket[1:] != bucket[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        for f in _whole_units(batches, ["bucket", "a", "b"], 32768):
+            unit = _unit_of([f[c].to_numpy() for c in ("bucket", "a", "b")])
             some = np.bincount(unit)[unit] > 1
-            unit, side, fp, rep = unit[some], side[some], fp[some], rep[some]
-            if not len(unit):
-                return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
+            unit, f = unit[some], f[some]
+            if not len(f):
+                continue
+            side, fp, name = f["side"].to_numpy(), np.stack([f[w].to_numpy() for w in words], axis=1).view(np.uint64), f[node].to_numpy()
             if radius is None:
-                size = cols[-1][some]
-                label = forest(len(unit), alike(links(unit, side, fp, size // 4), size, fp))
+                size, cls = f["size"].to_numpy(), f["cls"].to_numpy()
+                label = forest(len(unit), alike(links(unit, side, fp, reach(size)), size, cls))
             else:
                 label = forest(len(unit), links(unit, side, fp, radius))
             linked = np.flatnonzero(label != np.arange(len(label)))
-            x, y = rep[linked], rep[label[linked]]
-            return pd.DataFrame({"u": np.maximum(x, y), "v": np.minimum(x, y)})
+            x, y = name[linked], name[label[linked]]
+            yield pd.DataFrame({"u": np.maximum(x, y), "v": np.minimum(x, y)})
 
-        for frame in batches:
-            held.append(tuple(frame[c].to_numpy() for c in columns))
-            if sum(len(h[0]) for h in held) < 32768:
-                continue
-            cols = tuple(map(np.concatenate, zip(*held)))
-            same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
-            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0  # the last unit may go on
-            held = [tuple(c[cut:] for c in cols)]
-            if cut:
-                yield solve(tuple(c[:cut] for c in cols))
-        if held:
-            yield solve(tuple(map(np.concatenate, zip(*held))))
-
-    dealt = units.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "rank")
+    dealt = units.select(*columns).repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "rank")
     return dealt.mapInPandas(tidy(run), "u long, v long")
 
 
@@ -248,10 +301,10 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(fps: DataFrame, radius: int = RADIUS, chunk: int | None = None) -> DataFrame:
     """(fp, component, size of the fingerprint's group) for rows (doc_id, fp) in a table."""
     reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-reps")
-    some = reps.where("rep IS NOT NULL").select("fp", "rep")
-    edges = _edges(_units(some, F.array(*turned(F.col("fp"), radius)), 64 // (radius + 1), ["fp"], chunk), ["fp"], radius)
-    comp = components(edges)
-    return reps.join(comp, reps["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"), "n")
+    comp = components(_edges(_units(reps.select("fp"), radius, chunk), ["fp"], radius, "fp"))
+    known = reps.join(comp, reps["fp"] == comp["node"], "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("_c"))
+    least = known.groupBy("_c").agg(F.min("rep").alias("component"))  # null only if no document that is reachable has a doc_id
+    return known.join(least, "_c").select("fp", "component", "n")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, chunk: int | None = None) -> DataFrame:
@@ -264,74 +317,101 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, chu
 # Similar texts -------------------------------------------------------------
 #
 # Texts are similar at a Jaccard index of their sets of word shingles of 0.8 or
-# more, so that of n and m shingles 9 * common >= 4 * (n + m). A pair is neither
-# missed nor linked by an estimate, at any number of rows:
+# more, so that of n and m shingles 9 * common >= 4 * (n + m). Every link is
+# decided on the sets themselves; estimates only choose what is compared:
 #
-# 1. Candidates. Each set's shingles stand in one order for all texts, frequent ones
-#    last. Of n, a similar text has all but n / 5, so that the first n - ceil(4n / 5) + 1
-#    of both texts have one in common: these are the buckets. The frequent ones are
-#    counted in a bounded sample; any order gives the same result.
-# 2. In a bucket the Gray index searches sketches of 512 bits, each the parity of the
-#    shingles that fall on it. One shingle more or less turns one bit, so that sketches
-#    of similar texts differ in (n + m) / 9 bits at most; pairs beyond that are dropped.
-# 3. Texts that candidate pairs connect meet again, with their words, and only pairs
-#    whose sets are similar become edges. Large groups are cut in chunks, each pair of
-#    chunks a unit, by the number of shingles.
-
-WIDE, WIDE_RADIUS, WIDE_SHINGLE = 4, 44, 5
-SKETCH = [f"w{i}" for i in range(8)]
-#: Shingles of a chunk: 8 bytes each.
+# 1. Each set gets a wide SimHash fingerprint and BANDS keys, each of two least
+#    hashes, whatever its size or the table's. Texts of similarity 0.8 share none with
+#    a probability of (1 - 0.8^2)^BANDS, 1.3e-9, and fingerprints of such texts lie
+#    further apart than ``reach`` with less than that.
+# 2. Sets that share one of the first FIRST keys are compared; what is similar forms
+#    classes. A large group is cut in chunks by hash, another cut for each key.
+# 3. Groups of a key that has one class only are done. In the others the Gray index
+#    searches the fingerprints for pairs of different classes within ``reach``.
+# 4. Texts that such pairs connect meet again, and sets of different classes are
+#    compared, all of them. Large groups are dealt in units of bounded size.
+
+WIDE, WIDE_SHINGLE = 2, 5
+BANDS, FIRST = 20, 2
+PRINTS = [f"f{i}" for i in range(WIDE)]
+#: Shingles of a unit: 8 bytes each.
 UNIT = 1_000_000
-#: Texts in the sample, times a shingle must be in it, and most shingles that are held as frequent.
-SAMPLE, OFTEN, MAX_FREQUENT = 20_000, 4, 1 << 16
-_SALTS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_MIX = np.random.default_rng(11).integers(0, 1 << 64, (2 * BANDS, 2), np.uint64) | np.uint64(1)
+_SALTS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)[:WIDE]
+_STEP = 0x9E3779B97F4A7C15
+
+
+class _Words(dict):
+    """Hashes of words seen before; emptied when it holds a hundred thousand."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+_KNOWN = _Words()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def shingles(text: bytes, k: int = WIDE_SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; one of the whole text if it has k words or fewer."""
     words = text.lower().split()
-    h, join = xxhash.xxh64_intdigest, b" ".join
     if len(words) <= k:
-        return np.array([h(join(words), SEED)], np.uint64)
-    return np.unique(np.fromiter((h(join(s), SEED) for s in zip(*(words[i:] for i in range(k)))), np.uint64, len(words) - k + 1))
-
-
-def first_ones(n: int) -> int:
-    """Of n shingles in order, so many of which a similar text has one among its own."""
-    return n - (4 * n + 4) // 5 + 1
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED + len(words))], np.uint64)
+    w = np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
+    n = len(w) - k + 1
+    h = np.zeros(n, np.uint64)
+    for i in range(k):
+        h = h * np.uint64(_STEP) + w[i : i + n]
+    return np.unique(_mixed(h))
 
 
-def wide_fingerprint(text: bytes, k: int = WIDE_SHINGLE) -> np.ndarray:
-    """256 bits over distinct word shingles, as zeros and ones. An estimate only: it decides nothing in ``keep_one``."""
-    if not text.split():
-        return np.zeros(64 * WIDE, np.uint8)
-    hashes = shingles(text, k)
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingles, in words of 64 bits. An estimate only: it decides no link."""
     ones = np.zeros(64 * WIDE, np.int64)
     for a in range(0, len(hashes), 16384):
-        part = hashes[a : a + 16384, None] ^ _SALTS
-        part = (part ^ (part >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        part = (part ^ (part >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        part ^= part >> np.uint64(31)
+        part = _mixed(hashes[a : a + 16384, None] ^ _SALTS)
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return (ones * 2 > len(hashes)).astype(np.uint8)
+    return np.packbits((ones * 2 > len(hashes)).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of two least hashes each."""
+    least = np.full(2 * BANDS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for a in range(0, len(hashes), 4096):
+        x = (hashes[a : a + 4096] ^ _MIX[:, :1]) * _MIX[:, 1:]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        least = np.minimum(least, x.min(axis=1))
+    return _mixed(least[::2] * np.uint64(_STEP) + least[1::2] + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    bits = np.bincount((hashes >> np.uint64(7)).astype(np.int64) & (64 * len(SKETCH) - 1), minlength=64 * len(SKETCH)) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+def reach(size: np.ndarray) -> np.ndarray:
+    """Bits of WIDE * 64 that fingerprints of similar sets may differ in. At a similarity of 0.8, 15 % of the bits differ, a few more in small sets: those are not pruned."""
+    return np.where(size < 32, 64 * WIDE, 46)
 
 
-def alike(pairs: Iterator[tuple[np.ndarray, np.ndarray]], size: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs whose sizes and sketches allow similar texts."""
+def alike(pairs: Iterator[tuple[np.ndarray, np.ndarray]], size: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different classes whose sizes allow similar sets."""
     for q, r in pairs:
-        n, m = size[q], size[r]
-        ok = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (np.bitwise_count(fp[q] ^ fp[r]).sum(axis=1, dtype=np.int64) * 9 <= n + m)
+        ok = (cls[q] != cls[r]) & (5 * np.minimum(size[q], size[r]) >= 4 * np.maximum(size[q], size[r]))
         yield q[ok], r[ok]
 
 
-def similar_sets(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
-    """Least row number that similar pairs connect each set to. Pairs are of two rows of side 2, or of sides 0 and 1."""
-    label = list(range(len(sets)))
+def similar_sets(sets: list[np.ndarray], side: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Least row number that similar pairs, or a common cls, connect each set to. Pairs are of two rows of side 2, or of sides 0 and 1.
+
+    Exact: of n shingles, rare ones first, similar sets have one in common among the first n - ceil(4n / 5) + 1.
+    """
+    first = {c: i for i, c in reversed(list(enumerate(cls.tolist())))}
+    label = [first[c] for c in cls.tolist()]
 
     def root(x: int) -> int:
         while label[x] != x:
@@ -339,93 +419,66 @@ def similar_sets(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
             x = label[x]
         return x
 
+    def join(x: int, y: int) -> None:
+        a, b = root(x), root(y)
+        if a != b and 9 * len(np.intersect1d(sets[x], sets[y], assume_unique=True)) >= 4 * (len(sets[x]) + len(sets[y])):
+            label[max(a, b)] = min(a, b)
+
+    if len(sets) == 2:
+        n, m = sorted((len(sets[0]), len(sets[1])))
+        if 5 * n >= 4 * m and (side[0] == 2 or side[0] != side[1]):
+            join(0, 1)
+        return np.array([root(0), root(1)])
     _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     place = np.empty(len(counts), np.int64)
     place[np.argsort(counts, kind="stable")] = np.arange(len(counts))  # rare ones first
     ranks = [np.sort(r) for r in np.split(place[inverse], np.cumsum([len(x) for x in sets])[:-1])]
     index: dict[int, list[int]] = {}
     for x in sorted(range(len(ranks)), key=lambda i: len(ranks[i])):
-        own, n = ranks[x], len(ranks[x])
-        head = own[: first_ones(n)].tolist()
+        n = len(ranks[x])
+        head = ranks[x][: n - (4 * n + 4) // 5 + 1].tolist()
         near = np.array([y for r in head for y in index.get(r, ())], np.int64)
         if len(near):
             near, times = np.unique(near, return_counts=True)
             for y in near[np.argsort(-times, kind="stable")].tolist():
-                m = len(ranks[y])
-                if 5 * m < 4 * n or (side[x] != 2 and side[x] == side[y]):
-                    continue
-                a, b = root(x), root(y)
-                if a != b and 9 * len(np.intersect1d(own, ranks[y], assume_unique=True)) >= 4 * (n + m):
-                    label[max(a, b)] = min(a, b)
+                if 5 * len(ranks[y]) >= 4 * n and (side[x] == 2 or side[x] != side[y]):
+                    join(x, y)
         for r in head:
             index.setdefault(r, []).append(x)
     return np.array([root(x) for x in range(len(label))])
 
 
-def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, times) of shingles that a sample of the texts has often: only an order comes from them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches, 0):
-            found = [shingles(t, k).view(np.int64) for t in utf8(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["h"])
-
-    part = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(max(1, docs.count() // SAMPLE))) == 0
-    n = docs.where(part).select("text").mapInArrow(tidy(run), "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
-    got = n.orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).toArrow()
-    h, c = got.column("h").to_numpy().view(np.uint64), got.column("count").to_numpy()
-    order = np.argsort(h)
-    return h[order], c[order]
-
-
 def _sketched(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, tie, size, d0, d1, sketch, heads, node): digests of the set and its buckets."""
-    known = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
+    """(doc_id, tie, size, d0, d1, fingerprint, keys, node): digests of the set, its fingerprint and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, times = known.value
         for b in small(batches, 2, 4 << 20):
-            size, digests, words, heads = [], [], [], []
+            size, digests, prints, keys = [], [], [], []
             for t in utf8(b.column(2)):
                 s = shingles(t, k)
-                size.append(len(s))
                 raw = s.tobytes()
+                size.append(len(s))
                 digests.append((xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2)))
-                words.append(sketch(s))
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    s = s[np.argsort(np.where(often[at] == s, times[at], 0), kind="stable")]
-                heads.append(s[: first_ones(len(s))].view(np.int64))
-            d, w = np.array(digests, np.uint64).view(np.int64), np.stack(words)
-            ends = pa.array(np.cumsum([0, *map(len, heads)]).astype(np.int32))
-            columns = [pa.array(size, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), *(pa.array(w[:, i]) for i in range(len(SKETCH))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(heads)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "tie", "size", "d0", "d1", *SKETCH, "heads"])
+                prints.append(wide_fingerprint(s))
+                keys.append(band_keys(s))
+            d, f = np.array(digests, np.uint64).view(np.int64), np.stack(prints)
+            ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
+            columns = [pa.array(size, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), *(pa.array(f[:, i]) for i in range(WIDE)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "tie", "size", "d0", "d1", *PRINTS, "keys"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text"))
-    schema = "doc_id long, tie long, size long, d0 long, d1 long, " + ", ".join(f"{w} long" for w in SKETCH) + ", heads array<long>"
+    schema = "doc_id long, tie long, size long, d0 long, d1 long, " + ", ".join(f"{w} long" for w in PRINTS) + ", keys array<long>"
     return written(d.mapInArrow(tidy(run), schema).withColumn("node", F.monotonically_increasing_id()), "similar-sketches")
 
 
 def _candidates(reps: DataFrame, chunk: int) -> DataFrame:
-    """(node, component) of texts that pairs which may be similar connect."""
-    dealt = reps.select("rep", F.explode("heads").alias("bucket")).withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
-    dealt = dealt.join(reps.select("rep", "size", *SKETCH), "rep").withColumn("s", F.ceil(F.col("n") / chunk).cast("int"))
-    units = _cut(dealt.withColumn("rank", gray_rank(F.col(SKETCH[0]))), F.xxhash64("rep"))
-    return components(_edges(units.drop("n"), SKETCH, None))
-
-
-def _similar_edges(texts: DataFrame, k: int) -> DataFrame:
-    """(u, v), u > v: edges of a spanning forest of each unit's similar pairs, for rows (component, a, b, side, node, text)."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("node").sort_values("node")
-        node = frame["node"].to_numpy()
-        label = similar_sets([shingles(t, k) for t in frame["text"]], frame["side"].to_numpy())
-        linked = np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"u": node[linked], "v": node[label[linked]]})
-
-    raw = texts.withColumn("text", F.coalesce("text", F.lit("")).cast("binary"))
-    return raw.groupBy("component", "a", "b").applyInPandas(run, "u long, v long")
+    """(node, component) of sets that pairs of different classes which may be similar connect."""
+    dealt = reps.select(F.explode("keys").alias("bucket"), F.col("rep").alias("node"), "cls", "size", *PRINTS)
+    mixed = dealt.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("bucket")
+    rows = written(dealt.join(mixed, "bucket"), "similar-mixed")
+    units = _dealt(rows, "bucket", chunk).withColumn("rank", gray_rank(F.col(PRINTS[0])))
+    comp = components(_edges(units, PRINTS, None, "node"))
+    return comp.unionByName(comp.select(F.col("component").alias("node"), "component")).distinct()
 
 
 def _picked(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, str, Column]:
@@ -435,27 +488,59 @@ def _picked(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, str, Column]:
     return with_maybe(docs, bit_filter(keys, F.struct(F.col("_i").alias("a"), F.col("_t").alias("b"))), key, m), m, F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_t"))
 
 
+def _similar_edges(docs: DataFrame, units: DataFrame, k: int) -> DataFrame:
+    """(u, v), u > v: edges of a spanning forest of each unit's similar pairs of different cls, for units (bucket, a, b, side, node, cls, _i, _t)."""
+    by = ["bucket", "a", "b"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in _whole_units(batches, by, 1):
+            f = f.drop_duplicates([*by, "node"])
+            unit = _unit_of([f[c].to_numpy() for c in by])
+            ends = np.flatnonzero(np.r_[unit[1:] != unit[:-1], True]) + 1
+            node, side, cls, text = f["node"].to_numpy(), f["side"].to_numpy(), f["cls"].to_numpy(), f["text"].to_numpy()
+            u, v = [], []
+            for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+                if b - a < 2:
+                    continue
+                label = a + similar_sets([shingles(t, k) for t in text[a:b]], side[a:b], cls[a:b])
+                linked = a + np.flatnonzero(label != np.arange(a, b))
+                u.append(np.maximum(node[linked], node[label[linked - a]]))
+                v.append(np.minimum(node[linked], node[label[linked - a]]))
+            if u:
+                yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
+
+    marked, m, on = _picked(docs, units)
+    texts = marked.where(F.col(m)).select("doc_id", F.col("text").alias("_text")).join(units, F.expr("CAST(doc_id AS BIGINT) <=> _i AND xxhash64(_text) = _t"))
+    texts = texts.select(*by, "side", "node", "cls", F.coalesce("_text", F.lit("")).cast("binary").alias("text"))
+    return texts.repartition(*by).sortWithinPartitions(*by, "node").mapInPandas(tidy(run), "u long, v long")
+
+
 def similar(docs: DataFrame, k: int = WIDE_SHINGLE, chunk: int = CHUNK, unit: int = UNIT) -> DataFrame:
     """(doc_id, tie, keeper): a row per distinct document (doc_id and hash of the text); keeper marks the one of each group that stays, the least."""
     rows = _sketched(docs, k)
-    same = ["d0", "d1", "size"]
-    reps = written(rows.groupBy(*same).agg(F.min("node").alias("rep"), *(F.first(c).alias(c) for c in ("heads", *SKETCH))), "similar-reps")
-    comp = _candidates(reps, chunk).where("node IS NOT NULL")
-    comp = comp.unionByName(comp.select(F.col("component").alias("node"), "component")).distinct()
-    asked = written(comp.join(rows.select("node", "size", F.col("doc_id").alias("_i"), F.col("tie").alias("_t")), "node"), "similar-asked")
-    sizes = asked.groupBy("component").agg(F.ceil(F.sum("size") / unit).cast("int").alias("s"))
-    units = _cut(asked.join(sizes, "component"), F.xxhash64("node")).select("component", "a", "b", "side", "node", "_i", "_t")
-    marked, m, on = _picked(docs, asked)
-    edges = _similar_edges(marked.where(F.col(m)).select("doc_id", "text").join(units, on).select("component", "a", "b", "side", "node", "text"), k)
+    same = ["d0", "d1", "size"]  # never null, so that equal sets meet
+    reps = written(rows.groupBy(*same).agg(F.min("node").alias("rep"), *(F.first(c).alias(c) for c in ("keys", *PRINTS))), "similar-reps")
+    named = rows.select("node", F.col("doc_id").alias("_i"), F.col("tie").alias("_t"))
+    # Classes of sets that share one of the first keys.
+    dealt = reps.select(F.explode(F.slice("keys", 1, FIRST)).alias("bucket"), "rep", "size")
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("w")).where("n > 1").select("bucket", F.ceil(F.col("w") / unit).cast("int").alias("_s"))
+    asked = dealt.join(shared, "bucket").select("bucket", F.pmod(F.xxhash64("rep", "bucket"), F.col("_s")).cast("int").alias("a"), F.lit(0).alias("b"), F.lit(2).cast("byte").alias("side"), F.col("rep").alias("node"), F.col("rep").alias("cls"))
+    asked = written(asked.join(named, "node"), "similar-first")
+    first = components(_similar_edges(docs, asked, k))
+    known = written(reps.join(first, reps["rep"] == first["node"], "left").select(*reps.columns, F.coalesce("component", "rep").alias("cls")), "similar-known")
+    # Pairs of different classes.
+    comp = _candidates(known, chunk)
+    asked = comp.join(known.select(F.col("rep").alias("node"), "cls", "size"), "node").join(named, "node").withColumnRenamed("component", "bucket")
+    asked = written(_dealt(written(asked, "similar-asked"), "bucket", unit, "size"), "similar-units")
+    edges = _similar_edges(docs, asked, k).unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    # A unit's edges lie between rows of classes, which the first edges connect.
     linked = components(edges)
-    known = reps.join(linked, reps["rep"] == linked["node"], "left").select(*same, F.coalesce("component", "rep").alias("component"))
-    # These are never null, so that equal sets meet.
+    known = known.join(linked, known["rep"] == linked["node"], "left").select(*same, F.coalesce("component", "rep").alias("component"))
     rows = written(rows.select("doc_id", "tie", *same).join(known, same).select("doc_id", "tie", "component"), "similar-classes")
-    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tie")).alias("m")).select("component", "m.doc_id", "m.tie")
-    first = cut_lineage(first)
-    keeper = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tie") == F.col("_t"))
-    joined = rows.join(first.select("component", F.col("doc_id").alias("_d"), F.col("tie").alias("_t")), "component")
-    return joined.groupBy("doc_id", "tie").agg(F.max(keeper).alias("keeper"))
+    least = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tie")).alias("m"), F.count("*").alias("n")).where("n > 1")
+    least = least.select("component", F.col("m.doc_id").alias("_d"), F.col("m.tie").alias("_t"))
+    keeper = F.col("_t").isNull() | (F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tie") == F.col("_t")))
+    return rows.join(least, "component", "left").groupBy("doc_id", "tie").agg(F.max(keeper).alias("keeper"))
 
 
 def keep_one(docs: DataFrame, k: int = WIDE_SHINGLE, chunk: int = CHUNK, unit: int = UNIT) -> DataFrame:
