@@ -67,6 +67,21 @@ def test_repeated_rows_and_empty(spark):
     assert x.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_query_on_a_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    out = x.op7_suffix_dedup(spark, sf).collect()
+    assert sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in out), key=str) == brute(rows, 100)
+
+
+def test_full_sets_let_more_pass_and_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(x, "_bits", lambda keys, bits: np.full(1, (1 << 64) - 1, np.uint64))
+    rows = corpus(6)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 40) == brute(rows, 40)
+    monkeypatch.setattr(x, "HOT", 1)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 40) == brute(rows, 40)
+
+
 def test_radix_of_windows():
     rows = [b"abcabcabc", b"xabcabcx", b"abcabcabc"]
     row, j = x.later_windows(np.zeros(3, np.int64), np.array([4, 3, 4]), rows, 6)

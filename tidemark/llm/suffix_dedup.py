@@ -6,14 +6,23 @@ their first n bytes and looking at equal groups gives exactly those strings. Dig
 are taken most significant first, and a suffix that is alone after a digit leaves.
 
 First digit. Every window of n bytes has a key, the least hash among its grams of
-``GRAM`` bytes: equal windows have equal keys, and neighbours mostly share one, so
-only one gram in about 35 bytes is counted. Windows whose key occurs once leave; a
-bit set of bounded size with the other keys goes to the tasks (a full set would let
-more pass, never less). The windows that stay are dealt by key, as the runs of bytes
-that hold all neighbours with one key. Equal runs of a batch are folded before the
-shuffle: the earliest goes on, the bytes of the others are removed at once. Keys
-that occur very often are replaced by the window's own hash, so that the windows
-around a passage that a third of the documents have spread over all tasks.
+``GRAM`` bytes: equal windows have equal keys, and neighbours mostly share one. The
+neighbours with one key make a run of bytes, and since keys come from the content,
+a copied passage falls into the same runs wherever it stands, all but those at its
+ends. Runs are counted first, by key: how many, and whether all are equal (least and
+greatest digest). Keys that occur once leave. What is known of the others goes to the
+tasks as bit sets of bounded size (full ones would let more pass, never less):
+
+* runs of a key whose runs are all equal are dealt as a digest of 128 bits, without
+  their bytes: the earliest stays, the others go;
+* runs of a key whose runs differ, and runs in which the key's gram stands twice, are
+  dealt with their bytes;
+* where such a key occurs very often, its windows are dealt one by one, by a digest of
+  128 bits, so that the windows around a passage that a third of the documents have
+  spread over all tasks.
+
+Equal runs of a batch are folded before the shuffle: the earliest goes on, the bytes
+of the others are removed at once.
 
 Further digits, eight bytes each, are sorted within a key in numpy through byte n;
 what is then still together are equal windows, compared byte by byte.
@@ -38,12 +47,14 @@ from tidemark.sources.shared import written
 
 N, GRAM = 100, 32
 BLOCK = 1 << 18
-#: Bits of the key sets that go to tasks: 16 MB and 1 MB.
+#: Bits of the key sets that go to tasks: 16 MB at most, and 1 MB.
 MAX_BITS, HOT_BITS = 1 << 27, 1 << 23
-#: Occurrences from which a key is dealt window by window.
-HOT = 1000
+#: Occurrences from which a key whose runs differ is dealt window by window. A task can hold as many.
+HOT = 20_000
 #: Runs that a task holds at once.
-HELD = 40_000
+HELD = 60_000
+#: What a row of a segment stands for: spans to remove, a digest, bytes.
+GONE, DIGEST, BYTES = 0, 1, 2
 LAST_ID = (1 << 63) - 1
 _RNG = np.random.default_rng(7)
 _TABLE = _RNG.integers(0, 1 << 64, 256, np.uint64)
@@ -60,15 +71,23 @@ _UP = _powers(int(_R), BLOCK + 4096)
 _DOWN = _powers(pow(int(_R), -1, 1 << 64), BLOCK + 4096)
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of each ``gram`` bytes."""
+def _prefixes(data: np.ndarray) -> np.ndarray:
     p = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_TABLE[data] * _UP[: len(data)], out=p[1:])
-    h = (p[gram:] - p[:-gram]) * _DOWN[: len(data) - gram + 1]
+    return p
+
+
+def _between(p: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice, down: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from each start to its end."""
+    h = (p[end] - p[start]) * down
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    return h | np.uint64(1)
+    return h ^ (h >> np.uint64(29))
+
+
+def gram_hashes(p: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of each ``gram`` bytes."""
+    return _between(p, slice(None, -gram), slice(gram, None), _DOWN[: len(p) - gram]) | np.uint64(1)
 
 
 def sliding(x: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
@@ -84,19 +103,34 @@ class Block:
     """Pieces of documents side by side. key[s]: the least gram hash of the window at s, 0 if no window starts there."""
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, n: int, gram: int):
-        self.data = data
-        self.h = gram_hashes(data, gram)
+        self.data, self.n = data, n
+        self.p = _prefixes(data)
+        self.h = gram_hashes(self.p, gram)
         self.w = n - gram + 1
         key = sliding(self.h, self.w, np.minimum)
         for e in ends[:-1]:
             key[max(0, e - n + 1) : e] = 0
         self.key = key
 
-    def selected(self) -> np.ndarray:
-        """Hashes of all grams that are the least of some window, one for each place."""
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, windows, key, 64-bit digest) of the runs of neighbours with one key."""
+        start = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]])
+        size = np.diff(np.r_[start, len(self.key)])
+        some = np.flatnonzero(self.key[start] != 0)
+        start, size = start[some], size[some]
+        digest = _between(self.p, start, start + size + self.n - 1, _DOWN[start]) + size.astype(np.uint64)
+        return start, size, self.key[start], digest
+
+    def twice(self, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Whether the key's gram stands more than once in each run; only then can windows of one run be equal."""
         pad = np.zeros(self.w - 1, np.uint64)
-        most = sliding(np.concatenate([pad, self.key, pad]), self.w, np.maximum)
-        return self.h[most == self.h]
+        at = np.flatnonzero(sliding(np.concatenate([pad, self.key, pad]), self.w, np.maximum) == self.h)
+        order = np.lexsort((at, self.h[at]))
+        at, h = at[order], self.h[at[order]]
+        some = np.isin(key, h[1:][(h[1:] == h[:-1]) & (at[1:] - at[:-1] <= self.w)])
+        for r in np.flatnonzero(some).tolist():
+            some[r] = np.count_nonzero(self.h[start[r] : start[r] + size[r] + self.w - 1] == key[r]) > 1
+        return some
 
 
 def blocks(texts: pa.Array, n: int, gram: int) -> Iterator[tuple[Block, np.ndarray, np.ndarray, np.ndarray]]:
@@ -127,86 +161,90 @@ def blocks(texts: pa.Array, n: int, gram: int) -> Iterator[tuple[Block, np.ndarr
 
 
 def _keys(n: int, gram: int):
-    """First digit: (key, how often)."""
+    """First digit: (key, how often, least and greatest digest of its runs, whether a run has the gram twice)."""
 
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        key, count = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], ["key", "n"])
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        key, digest, twice = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((digest, key))
+        key, digest, twice = key[order], digest[order], twice[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[first, len(key)])
+        columns = [key[first].view(np.int64), count.astype(np.int64), digest[first].view(np.int64), digest[first + count - 1].view(np.int64), np.logical_or.reduceat(twice, first)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "n", "lo", "hi", "twice"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
             for block, *_ in blocks(b.column(0), n, gram):
-                held.append(block.selected())
-                size += len(held[-1])
+                start, windows, key, digest = block.runs()
+                held.append((key, digest >> np.uint64(1), block.twice(start, windows, key)))  # 63 bits, so that their order is that of signed numbers
+                size += len(key)
                 if size > 1_000_000:
                     yield flush(held)
                     held, size = [], 0
-        if held:
+        if size:
             yield flush(held)
 
     return run
 
 
-SEGMENT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("bytes", pa.binary())])
+SEGMENT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("form", pa.int8()), ("bytes", pa.binary())])
 
 
-def _segments(n: int, gram: int, again, hot):
-    """Runs of windows whose keys are repeated; equal ones of a batch are folded. ``bytes`` is null for removed runs."""
+def _segments(n: int, gram: int, again, mixed, hot):
+    """Runs of windows whose keys are repeated; equal ones of a batch are folded. Removed runs have no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, often = again.value, hot.value
+        repeated, differ, often = again.value, mixed.value, hot.value
         bit = lambda bits, k: (bits[(k & np.uint64(len(bits) * 64 - 1)) >> np.uint64(6)] >> (k & np.uint64(63))) & np.uint64(1) == 1
+        first: dict[bytes, tuple[int, int, int, int, int, int]] = {}
+        gone: list[tuple[int, int, int, int]] = []
+
+        def offer(raw: bytes, at: tuple[int, int, int], key: int, size: int, form: int) -> None:
+            old = first.get(raw)
+            if old is None or at < old[:3]:
+                first[raw] = (*at, key, size, form)
+                if old is not None:
+                    gone.append((*old[:3], size + n - 1))
+            elif at != old[:3]:
+                gone.append((*at, size + n - 1))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            at = list(first.values())
+            columns = [[v[3] for v in at], [v[0] for v in at], [v[1] for v in at], [v[2] for v in at], [v[4] for v in at], [v[5] for v in at], list(first)]
+            for i, t, s, size in merge(gone):
+                for c, v in zip(columns, (i ^ t, i, t, s, size, GONE, None)):
+                    c.append(v)
+            first.clear()
+            gone.clear()
+            yield from pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SEGMENT)], schema=SEGMENT).to_batches(max_chunksize=10_000)
+
         for b in batches:
             ids, ties = b.column(0).to_numpy(), b.column(1).to_numpy()
-            first: dict[bytes, tuple[int, int, int, int, int]] = {}
-            gone: list[tuple[int, int, int, int]] = []
-
-            def offer(raw: bytes, at: tuple[int, int, int], key: int, size: int) -> None:
-                old = first.get(raw)
-                if old is None or at < old[:3]:
-                    first[raw] = (*at, key, size)
-                    if old is not None:
-                        gone.append((*old[:3], size + n - 1))
-                elif at != old[:3]:
-                    gone.append((*at, size + n - 1))
-
-            def out() -> Iterator[pa.RecordBatch]:
-                at = list(first.values())
-                columns = [[v[3] for v in at], [v[0] for v in at], [v[1] for v in at], [v[2] for v in at], [v[4] for v in at], list(first)]
-                for i, t, s, size in merge(gone):
-                    for c, v in zip(columns, (i ^ t, i, t, s, size, None)):
-                        c.append(v)
-                first.clear()
-                gone.clear()
-                yield from pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SEGMENT)], schema=SEGMENT).to_batches(max_chunksize=10_000)
-
             for block, docs, places, bases in blocks(b.column(2), n, gram):
-                if len(first) > HELD:
+                if len(first) + len(gone) > HELD:
                     yield from out()
-                key = block.key
-                change = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                size = np.diff(np.r_[change, len(key)])
-                runs = np.flatnonzero(key[change] != 0)
-                change, size = change[runs], size[runs]
-                k = key[change]
-                ok = bit(repeated, k)
-                change, size, k = change[ok], size[ok], k[ok]
-                piece = np.searchsorted(bases, change, "right") - 1
+                at, size, key, _ = block.runs()
+                ok = bit(repeated, key)
+                at, size, key = at[ok], size[ok], key[ok]
+                piece = np.searchsorted(bases, at, "right") - 1
                 doc = docs[piece]
-                start = change - bases[piece] + places[piece]
-                raw, heavy = block.data.tobytes(), bit(often, k)
-                rows = zip(change.tolist(), size.tolist(), k.view(np.int64).tolist(), ids[doc].tolist(), ties[doc].tolist(), start.tolist(), heavy.tolist())
-                for at, m, key1, i, t, s, split in rows:
+                start = at - bases[piece] + places[piece]
+                whole = bit(differ, key)
+                raw, heavy = block.data.tobytes(), bit(often, key)
+                rows = zip(at.tolist(), size.tolist(), key.view(np.int64).tolist(), ids[doc].tolist(), ties[doc].tolist(), start.tolist(), whole.tolist(), heavy.tolist())
+                for a, m, k, i, t, s, full, split in rows:
                     if split:
                         for j in range(m):
-                            part = raw[at + j : at + j + n]
-                            offer(part, (i, t, s + j), int.from_bytes(xxhash.xxh64_digest(part), "big", signed=True), 1)
-                    else:
+                            d = xxhash.xxh3_128_digest(raw[a + j : a + j + n])
+                            offer(d, (i, t, s + j), int.from_bytes(d[:8], "big", signed=True), 1, DIGEST)
+                    elif full:
                         for j in range(0, m, 256):
                             z = min(256, m - j)
-                            offer(raw[at + j : at + j + z + n - 1], (i, t, s + j), key1, z)
-            yield from out()
+                            offer(raw[a + j : a + j + z + n - 1], (i, t, s + j), k, z, BYTES)
+                    else:
+                        offer(xxhash.xxh3_128_digest(raw[a : a + m + n - 1]), (i, t, s), k, m, DIGEST)
+        yield from out()
 
     return run
 
@@ -257,18 +295,19 @@ def _radix(n: int):
     """Further digits within a key; gives removed runs (id, tie, start, size)."""
 
     def solve(cols: list) -> list[tuple[int, int, int, int]]:
-        key, ids, ties, start, size, raw = cols
+        key, ids, ties, start, size, form, raw = cols
         out: list[tuple[int, int, int, int]] = []
         seen: dict[tuple[int, bytes], tuple[int, int, int]] = {}
         rows: list[int] = []
         for r in range(len(key)):  # equal runs: the first is the earliest
-            if raw[r] is None:
+            if form[r] == GONE:
                 out.append((ids[r], ties[r], start[r], size[r]))
                 continue
             at = (ids[r], ties[r], start[r])
             lead = seen.setdefault((key[r], raw[r]), at)
             if lead is at:
-                rows.append(r)
+                if form[r] == BYTES:
+                    rows.append(r)
             elif lead != at:
                 out.append((*at, size[r] + n - 1))
         group = np.array([key[r] for r in rows], np.int64)
@@ -320,12 +359,14 @@ def repeated_spans(docs: DataFrame, n: int = N, gram: int | None = None) -> Data
     gram = gram or max(1, min(GRAM, n // 3))
     spark = docs.sparkSession
     d = _known(docs)
-    counted = d.select("text").mapInArrow(tidy(_keys(n, gram)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    counted = written(counted, "suffix-keys")
-    many = counted.count()
-    bits = min(MAX_BITS, 1 << max(16, (many * 16).bit_length()))
-    again, hot = spark.sparkContext.broadcast(_bits(counted, bits)), spark.sparkContext.broadcast(_bits(counted.where(F.col("n") >= HOT), HOT_BITS))
-    seg = d.select("id", "tie", "text").mapInArrow(tidy(_segments(n, gram, again, hot)), "key long, id long, tie long, start long, size long, bytes binary")
+    runs = d.select("text").mapInArrow(tidy(_keys(n, gram)), "key long, n long, lo long, hi long, twice boolean")
+    counted = runs.groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("twice").alias("twice")).where("n > 1 OR twice")
+    counted = written(counted.select("key", "n", (F.col("twice") | (F.col("lo") != F.col("hi"))).alias("mixed")), "suffix-keys")
+    size = counted.agg(F.count("*"), F.count_if("mixed")).first()
+    share = lambda df, bits: spark.sparkContext.broadcast(_bits(df, bits))
+    bits = [min(MAX_BITS, 1 << max(16, (many * 16).bit_length())) for many in size]
+    sets = [share(counted, bits[0]), share(counted.where("mixed"), bits[1]), share(counted.where(F.col("mixed") & (F.col("n") >= HOT)), HOT_BITS)]
+    seg = d.select("id", "tie", "text").mapInArrow(tidy(_segments(n, gram, *sets)), "key long, id long, tie long, start long, size long, form byte, bytes binary")
     return seg.repartition("key").sortWithinPartitions("key", "id", "tie", "start").mapInArrow(tidy(_radix(n)), "id long, tie long, start long, size long")
 
 
