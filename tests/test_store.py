@@ -109,6 +109,107 @@ def test_compaction_keeps_overlapping_targets_and_gc(store, spark):
     assert [r["level"] for r in state["runs"]] == [1] and state["runs"][0]["key_count"] == 2
 
 
+def test_tombstones_of_targets_stay_above_deeper_runs(store):
+    """A target's range may be wider than the inputs': its tombstones must not go while a deeper run meets it."""
+    store.batch_put(["w", "x", "z"], ["1", "1", "1"])
+    store.flush()
+    store.compact(0)
+    store.compact(1)
+    store.delete("x")
+    store.batch_put(["a", "z"], ["2", "2"])
+    store.flush()
+    store.compact(0)
+    assert store.get("x") is None
+    store.batch_put(["a", "b", "c"], ["3", "3", "3"])
+    store.flush()
+    store.compact(0)
+    assert store.get("x") is None
+    assert content(store) == {"a": "3", "b": "3", "c": "3", "w": "1", "z": "2"}
+
+
+def test_random_operations_on_apart_ranges_and_levels(spark, tmp_path):
+    rng = random.Random(11)
+    s, model = Store(spark, f"file://{tmp_path}/kv", auto_compact=False), {}
+    for step in range(12):
+        lo = rng.choice("aceg")
+        keys = [f"{c}{i}" for c in (lo, chr(ord(lo) + rng.randrange(3))) for i in range(3)]
+        batch = []
+        for i, k in enumerate(keys):
+            if rng.random() < 0.5:
+                batch.append((k, None, True, i))
+                model.pop(k, None)
+            else:
+                model[k] = f"{step}-{i}"
+                batch.append((k, model[k], False, i))
+        s.write(rows(spark, *batch))
+        s.flush()
+        for _ in range(rng.randrange(3)):
+            s.compact(rng.choice([0, 0, 1, 2, 3]))
+        if step % 3 == 2:
+            assert content(s) == model
+    assert len({r["level"] for r in s.runs.snapshot()["runs"]}) > 1
+    assert content(s) == model
+
+
+def test_counters_survive_and_never_shrink(store, spark, monkeypatch):
+    store.put("a", "1")
+    store.get("a")
+    store.flush()
+    for i in range(3):
+        store.put("b", str(i))
+        store.flush()
+        store.compact(0)
+    store.get("b")
+    before = store.stats()
+    store.close()
+    after = Store(spark, store.root).stats()
+    assert after["engine"]["gets"] == 2 and after["engine"]["puts"] == 4 and after["engine"]["compactions"] == 3
+    assert after["compaction"] == before["compaction"] and after["compaction"]["compactions_completed"] == 3 and after["compaction"]["sstables_merged"] == 4 + 2
+
+
+def test_second_writer_is_refused(store, spark):
+    other = Store(spark, store.root, auto_compact=False)
+    store.put("a", "1")
+    with pytest.raises(RuntimeError, match="another writer"):
+        other.put("b", "2")
+    version = store.runs.version()
+    store.flush()
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.runs.publish(store.runs.snapshot(version), version)
+    assert content(Store(spark, store.root)) == {"a": "1"}
+
+
+def test_log_is_cleared_and_sized(store):
+    assert store.log.size() == 0
+    store.put("a", "1")
+    assert store.log.size() > 0
+    store.flush()
+    assert store.log.size() == 0 and store.log.read().count() == 0
+
+
+def test_deletes_of_a_hot_key(spark):
+    data = [("hot", None if i % 3 == 0 else str(i), i % 3 == 0, i) for i in range(400)] + [("cold", None, True, 1000)]
+    got = {(r["key"], r["seq"]): r["effective"] for r in mutate.delete_effective(rows(spark, *data)).collect()}
+    assert got == {("hot", i): i > 0 for i in range(0, 400, 3)} | {("cold", 1000): False}
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from tidemark.sources import shared
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(dict)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
+    Context.getCheckpointDir = staticmethod(lambda: "hdfs://x/y/")
+    assert shared.shared_dir(Session()) == "hdfs://x/y"
+
+
 def test_plan_levels():
     run = lambda i, level, size, lo="a", hi="z": {"run_id": i, "level": level, "file_size": size, "min_key": lo, "max_key": hi}
     assert compaction.plan([run(i, 0, 1) for i in range(4)]) is None

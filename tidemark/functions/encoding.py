@@ -1,4 +1,4 @@
-"""Size arithmetic, checksums and time stamps as column expressions."""
+"""Size arithmetic as column expressions."""
 
 from __future__ import annotations
 
@@ -23,25 +23,3 @@ def encoded_size(key: Column, value: Column) -> Column:
 def memory_estimate(key: str, value: str, pointer_bytes: int = 16) -> Column:
     """Bytes of an in-memory entry, with the expected size of its links."""
     return F.octet_length(key) + F.coalesce(F.octet_length(value), F.lit(0)) + pointer_bytes
-
-
-def checksum(payload: Column) -> Column:
-    """CRC-32, unsigned."""
-    return F.crc32(payload)
-
-
-def checksum_ok(payload: Column, stored: Column) -> Column:
-    return F.coalesce(F.crc32(payload) == stored, F.lit(False))
-
-
-def pack(payload: Column) -> Column:
-    return F.struct(F.crc32(payload).alias("crc"), payload.alias("payload"))
-
-
-def unpack(packed: Column) -> Column:
-    """The payload, or null if its checksum is wrong."""
-    return F.when(checksum_ok(packed["payload"], packed["crc"]), packed["payload"])
-
-
-def micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))

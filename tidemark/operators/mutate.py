@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.operators.fold import latest, live
+from tidemark.operators.fold import live
+from tidemark.operators.ordered import ranged
 
 
 def put(rows: DataFrame) -> DataFrame:
@@ -30,11 +31,6 @@ def batch_put(batches: DataFrame) -> DataFrame:
     return put(zipped.select(F.col("kv.keys").alias("key"), F.col("kv.values").alias("value"), (F.col("seq") + F.col("pos")).alias("seq")))
 
 
-def fold_batch(mutations: DataFrame) -> DataFrame:
-    """In-batch upsert: what a batch leaves for each key."""
-    return latest(mutations)
-
-
 def delete_if_exists(log: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests (key, seq): returns (tombstones to append, result per key with ``deleted``).
 
@@ -51,13 +47,16 @@ def delete_if_exists(log: DataFrame, requests: DataFrame) -> tuple[DataFrame, Da
 def delete_effective(log: DataFrame) -> DataFrame:
     """For each delete in a log, whether the key was live just before it.
 
-    ``lag`` over a key's history also sees earlier operations of the same batch.
-    The window is partitioned by key; histories are cut to two narrow columns.
+    The row before a delete in (key, seq) order also shows earlier operations of the
+    same batch. Rows are dealt by ranges of (key, seq), so that the history of a key
+    that holds a third of all rows is cut; one row per range carries what came before.
     """
-    w = Window.partitionBy("key").orderBy("seq")
-    hist = log.select("key", "seq", "is_tombstone")
-    return (
-        hist.withColumn("_was", F.lag("is_tombstone").over(w))
-        .where("is_tombstone")
-        .select("key", "seq", F.coalesce(~F.col("_was"), F.lit(False)).alias("effective"))
-    )
+    r = ranged(log.select("key", "seq", "is_tombstone"), ["key", "seq"])
+    w = Window.partitionBy("_pid").orderBy("key", "seq")
+    last = r.groupBy("_pid").agg(F.max_by(F.struct("key", "is_tombstone"), F.struct("key", "seq")).alias("_top"))
+    prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    carry = last.select("_pid", F.last("_top").over(prior).alias("_carry"))
+    before = F.coalesce(F.lag(F.struct("key", "is_tombstone")).over(w), F.col("_carry"))
+    was = r.join(F.broadcast(carry), "_pid").withColumn("_before", before).where("is_tombstone")  # as many rows as partitions
+    live_ = (F.col("_before.key") == F.col("key")) & ~F.col("_before.is_tombstone")
+    return was.select("key", "seq", F.coalesce(live_, F.lit(False)).alias("effective"))

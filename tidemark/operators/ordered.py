@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.sources.shared import cut_lineage
 
 
-def _ranged(df: DataFrame, by: list[str]) -> DataFrame:
+def ranged(df: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` dealt by ranges of ``by``, with the number of the range in ``_pid``."""
     return cut_lineage(df.repartitionByRange(*by).withColumn("_pid", F.spark_partition_id()))
 
 
 def ranked(df: DataFrame, by: list[str], amount: Column | None = None) -> DataFrame:
     """Adds ``rn`` (0-based rank by unique ``by``) and ``before`` (sum of amount in earlier rows)."""
-    r = _ranged(df.withColumn("_amt", (amount if amount is not None else F.lit(0)).cast("long")), by)
+    r = ranged(df.withColumn("_amt", (amount if amount is not None else F.lit(0)).cast("long")), by)
     w = Window.partitionBy("_pid").orderBy(*by)
     local = r.withColumn("_rn", F.row_number().over(w) - 1).withColumn(
         "_sum", F.coalesce(F.sum("_amt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -49,7 +50,8 @@ def seek(index: DataFrame, probes: DataFrame) -> DataFrame:
     extra = [c for c in probes.columns if c != "key"]
     i = index.select("key", F.lit(0).alias("_side"), F.struct(F.col("key").alias("k"), F.col("offset").alias("o")).alias("_at"), *[F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in extra])
     p = probes.select("key", F.lit(1).alias("_side"), F.lit(None).cast(i.schema["_at"].dataType).alias("_at"), *extra)
-    r = _ranged(i.unionByName(p), ["key"])
+    # The last column cuts the probes of a key that many ask for.
+    r = ranged(i.unionByName(p).withColumn("_tie", F.monotonically_increasing_id()), ["key", "_side", "_tie"])
     w = Window.partitionBy("_pid").orderBy("key", "_side").rowsBetween(Window.unboundedPreceding, 0)
     local = r.withColumn("_last", F.last("_at", ignorenulls=True).over(w)).where("_side = 1")
     tops = r.groupBy("_pid").agg(F.max("_at").alias("_top"))

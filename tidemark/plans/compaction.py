@@ -67,9 +67,10 @@ def plan(runs: list[dict], base_bytes: int = BASE_BYTES, l0_runs: int = L0_RUNS,
     if last and len(inputs) == 1:
         return None
     target = level if last else level + 1
-    lo, hi = min(r["min_key"] for r in inputs), max(r["max_key"] for r in inputs)
-    meets = lambda r: r["min_key"] <= hi and lo <= r["max_key"]
-    below = [] if last else [r for r in at[target] if meets(r)]
-    taken = {r["run_id"] for r in [*inputs, *below]}
-    deeper = [r for r in runs if r["run_id"] not in taken and r["level"] >= level and meets(r)]
+    meets = lambda r, some: r["min_key"] <= max(x["max_key"] for x in some) and min(x["min_key"] for x in some) <= r["max_key"]
+    below = [] if last else [r for r in at[target] if meets(r, inputs)]
+    merged = [*inputs, *below]
+    taken = {r["run_id"] for r in merged}
+    # The targets' tombstones are merged, too: their whole range decides whether anything older lies below.
+    deeper = [r for r in runs if r["run_id"] not in taken and r["level"] >= level and meets(r, merged)]
     return {"level": level, "target": target, "inputs": inputs, "below": below, "bottom": not deeper}

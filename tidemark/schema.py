@@ -17,7 +17,6 @@ MUTATION = T.StructType(
         T.StructField("seq", T.LongType(), False),
     ]
 )
-RUN = T.StructType([*MUTATION.fields, T.StructField("level", T.IntegerType()), T.StructField("run_id", T.LongType())])
 MANIFEST = T.StructType(
     [
         T.StructField("run_id", T.LongType(), False),
@@ -47,8 +46,3 @@ def mutations(df: DataFrame, key: Column, value: Column, seq: Column, tombstone:
         dead.alias("is_tombstone"),
         seq.cast("long").alias("seq"),
     )
-
-
-def row_value(df: DataFrame) -> Column:
-    """A typed row serialised as the opaque text value."""
-    return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -31,16 +34,26 @@ class Files:
             stream.close()
 
     def publish(self, name: str, text: str) -> bool:
-        """Writes beside and renames; False if ``name`` is there already."""
-        target, beside = self.path(name), self.path(f"{name}.tmp")
+        """Writes beside, under a name of its own, and renames without overwriting; False if ``name`` is there already or another writer won."""
+        target = self.path(name)
         if self._fs.exists(target):
             return False
-        out = self._fs.create(beside, True)
+        beside = self.path(f"{name}.{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(beside, False)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        return bool(self._fs.rename(beside, target))
+        fs = self._jvm.org.apache.hadoop.fs
+        plain = getattr(fs, "Options$Rename").NONE
+        some = self._jvm.java.lang.reflect.Array.newInstance(plain.getClass(), 1)
+        self._jvm.java.lang.reflect.Array.set(some, 0, plain)
+        try:
+            fs.FileContext.getFileContext(beside.toUri(), self._conf).rename(beside, target, some)
+        except Py4JJavaError:
+            self._fs.delete(beside, False)
+            return False
+        return self.read(name) == text
 
     def exists(self, name: str) -> bool:
         return self._fs.exists(self.path(name))

@@ -39,7 +39,9 @@ class MutationLog:
         return [n for n in self.files.names("log") if n.startswith("first=") and self.files.exists(f"log/{n}/_SUCCESS")]
 
     def append(self, df: DataFrame, first_seq: int) -> None:
-        """One commit per batch: a batch without its success marker is not read."""
+        """One commit per batch: a batch without its success marker is not read, and one with it is never overwritten."""
+        if self.files.exists(f"log/first={first_seq:020d}/_SUCCESS"):
+            raise RuntimeError("another writer has appended at this sequence")
         framed(df).write.mode("overwrite").parquet(f"{self.root}/log/first={first_seq:020d}")
 
     def read(self, flushed_seq: int = -1) -> DataFrame:

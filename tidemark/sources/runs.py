@@ -51,7 +51,7 @@ class RunStore:
 
     def snapshot(self, version: int | None = None) -> dict:
         v = self.version() if version is None else version
-        return json.loads(self.files.read(f"manifest/{v:012d}.json")) if v else {"runs": [], "flushed_seq": -1, "history": []}
+        return json.loads(self.files.read(f"manifest/{v:012d}.json")) if v else {"runs": [], "flushed_seq": -1, "counters": {}, "compaction": {}}
 
     def publish(self, state: dict, expected: int) -> int:
         if not self.files.publish(f"manifest/{expected + 1:012d}.json", json.dumps(state)):

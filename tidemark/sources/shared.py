@@ -9,21 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Where it is unset (local tests) a temporary folder is set once."""
+    """``spark.checkpoint.dir`` of the session, or the checkpoint folder that was set on its context.
+
+    Where both are unset, a local master (tests) gets a temporary folder once; a cluster, whose machines would
+    each write to their own, raises.
+    """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
     known = getattr(sc, "_tidemark_dir", None)
     if known is None:
-        known = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        sc._tidemark_dir = known
+        known = sc.getCheckpointDir()
+        if known is None:
+            if not sc.master.split("[")[0] == "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            known = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        sc._tidemark_dir = known = known.rstrip("/")
     return known
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in a folder under the shared one that goes when the application ends."""
+    sc = spark.sparkContext
+    top = getattr(sc, "_tidemark_scratch", None)
+    if top is None:
+        top = sc._tidemark_scratch = f"{shared_dir(spark)}/tidemark-{sc.applicationId}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(top)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -41,8 +57,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -2,7 +2,11 @@
 
 Sequences come from the log, not from a clock. A flush writes a run, publishes a
 manifest, then retires the log; a crash between any two steps loses nothing,
-because replay skips what ``flushed_seq`` covers.
+because replay skips what ``flushed_seq`` covers. One writer at a time has a root: a
+second one is refused when it appends or publishes what the first has committed, and
+opens the store anew. Any number of readers may read meanwhile: each read takes the
+newest manifest, whose runs are never changed. Counters of writes and reads are kept
+with the manifest.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.functions.encoding import memory_estimate
 from tidemark.operators import fold, mutate
 from tidemark.operators.stats import memtable_stats
 from tidemark.plans import compaction
@@ -22,15 +27,27 @@ from tidemark.sources.shared import cut_lineage
 MEMTABLE_BYTES, MEMTABLE_ENTRIES = 5 * 1024 * 1024, 100_000
 
 
+def sizes() -> tuple:
+    """Rows and bytes of a batch, as a memtable counts them."""
+    return F.count("*"), F.coalesce(F.sum(memory_estimate("key", "value")), F.lit(0))
+
+
+def totals(state: dict) -> dict:
+    """Counters of all compactions so far; they are kept with the manifest."""
+    return dict.fromkeys(("compactions_completed", "sstables_merged", "bytes_compacted", "last_compaction_time"), 0) | state["compaction"]
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, memtable_bytes: int = MEMTABLE_BYTES, memtable_entries: int = MEMTABLE_ENTRIES, base_bytes: int = compaction.BASE_BYTES, auto_compact: bool = True):
         self.spark, self.root = spark, root.rstrip("/")
         self.runs, self.log = RunStore(spark, root), MutationLog(spark, root)
         self.memtable_bytes, self.memtable_entries, self.base_bytes, self.auto_compact = memtable_bytes, memtable_entries, base_bytes, auto_compact
-        self.counters = {"puts": 0, "gets": 0, "deletes": 0, "range_scans": 0, "flushes": 0, "compactions": 0}
         state = self.runs.snapshot()
-        unflushed = self.log.read(state["flushed_seq"]).agg(F.max("seq")).first()[0]
-        self._next = max([state["flushed_seq"], -1 if unflushed is None else unflushed, *(r["run_id"] for r in state["runs"])]) + 1
+        self.counters = dict.fromkeys(("puts", "gets", "deletes", "range_scans", "flushes", "compactions"), 0) | state["counters"]
+        unflushed = self.log.read(state["flushed_seq"]).agg(F.max("seq"), *sizes()).first()
+        self._next = max([state["flushed_seq"], -1 if unflushed[0] is None else unflushed[0], *(r["run_id"] for r in state["runs"])]) + 1
+        #: At least the entries and bytes of the memtable: repeated keys count each time.
+        self._entries, self._bytes = unflushed[1], unflushed[2]
 
     def __enter__(self) -> "Store":
         return self
@@ -62,11 +79,12 @@ class Store:
     # writes ---------------------------------------------------------------
     def write(self, df: DataFrame, seq: str = "seq") -> None:
         """Appends mutations with offsets from 0 in ``seq``; they are moved behind what is there."""
-        n = df.agg(F.max(seq)).first()[0]
+        n, entries, size = df.agg(F.max(seq), *sizes()).first()
         if n is None:
             return
         self.log.append(df.withColumn("seq", F.col(seq).cast("long") + F.lit(self._next)), self._next)
         self._next += n + 1
+        self._entries, self._bytes = self._entries + entries, self._bytes + size
         self._maybe_flush()
 
     def _rows(self, rows: list[tuple[str, str | None, bool]]) -> DataFrame:
@@ -102,9 +120,13 @@ class Store:
         return fold.latest(self.log.read(self.runs.snapshot()["flushed_seq"]))
 
     def _maybe_flush(self) -> None:
+        if self._bytes <= self.memtable_bytes and self._entries <= self.memtable_entries:
+            return  # without repeated keys it can only be less
         s = memtable_stats(self.memtable()).first()
         if s["memtable_memory"] > self.memtable_bytes or s["memtable_size"] > self.memtable_entries:
             self.flush()
+        else:
+            self._entries, self._bytes = s["memtable_size"], s["memtable_memory"]
 
     def flush(self) -> bool:
         """Unflushed mutations become a level-0 run; False if there are none."""
@@ -115,9 +137,10 @@ class Store:
         stats = self.runs.write_run(self.log.read(state["flushed_seq"]), run_id, 0)
         if stats is None:
             return False
-        self.runs.publish(state | {"runs": [*state["runs"], stats], "flushed_seq": run_id}, version)
-        self.log.clear(run_id)
         self.counters["flushes"] += 1
+        self.runs.publish(state | {"runs": [*state["runs"], stats], "flushed_seq": run_id, "counters": self.counters}, version)
+        self.log.clear(run_id)
+        self._entries = self._bytes = 0
         if self.auto_compact:
             while self.compact():
                 pass
@@ -136,10 +159,14 @@ class Store:
         new = self.runs.write_run(compaction.merge(self.runs.read(old), step["bottom"]), run_id, step["target"])
         gone = {r["run_id"] for r in old}
         kept = [r for r in state["runs"] if r["run_id"] not in gone] + ([new] if new else [])
-        event = {"level": step["level"], "merged": len(old), "bytes": sum(r["file_size"] for r in old), "at": int(time.time() * 1e6)}
-        self.runs.publish(state | {"runs": kept, "history": [*state["history"], event][-1000:]}, version)
-        self.runs.delete_runs(old)
         self.counters["compactions"] += 1
+        done = totals(state)
+        done = {
+            "compactions_completed": done["compactions_completed"] + 1, "sstables_merged": done["sstables_merged"] + len(old),
+            "bytes_compacted": done["bytes_compacted"] + sum(r["file_size"] for r in old), "last_compaction_time": int(time.time() * 1e6),
+        }
+        self.runs.publish(state | {"runs": kept, "compaction": done, "counters": self.counters}, version)
+        self.runs.delete_runs(old)
         return True
 
     def force_compaction(self) -> int:
@@ -149,12 +176,15 @@ class Store:
     def stats(self) -> dict:
         state = self.runs.snapshot()
         m = memtable_stats(self.memtable()).first()
-        h = state["history"]
         return {
             "engine": self.counters | {"memtable_size": m["memtable_size"], "memtable_memory": m["memtable_memory"], "wal_size": self.log.size(), "sstable_counts": [sum(r["level"] == i for r in state["runs"]) for i in range(compaction.LEVELS)]},
-            "compaction": {"compactions_completed": len(h), "sstables_merged": sum(x["merged"] for x in h), "bytes_compacted": sum(x["bytes"] for x in h), "last_compaction_time": max((x["at"] for x in h), default=0)},
+            "compaction": totals(state),
         }
 
     def close(self) -> None:
-        self.flush()
-
+        """Flushes; counters of reads since the last commit are published, too."""
+        if not self.flush():
+            version = self.runs.version()
+            state = self.runs.snapshot(version)
+            if state["counters"] != self.counters:
+                self.runs.publish(state | {"counters": self.counters}, version)
