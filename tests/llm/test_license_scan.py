@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -69,6 +70,60 @@ def test_edges(spark):
         pass
 
 
+def best(template, words):
+    """Matched words of the best local alignment without a band, row by row: score and matches in one number."""
+    j = np.arange(len(words)) * (1 << 20)
+    row = np.zeros(len(words) + 1, np.int64)
+    top = 0
+    for t in template:
+        straight = row[:-1] + np.where(words == t, (2 << 20) + 1, -(1 << 20))
+        new = np.maximum(np.maximum(straight, row[1:] - (1 << 20)), 0)
+        new = np.maximum(np.maximum.accumulate(new + j) - j, 0)
+        row = np.r_[0, new]
+        top = max(top, int(new.max(initial=0)))
+    return top & ((1 << 20) - 1)
+
+
+def test_query_against_alignments_of_all_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {}
+    for r in x.op10_license_scan(spark, sf).collect():
+        got.setdefault(r["doc_id"], []).append((r["license"], r["matched_words"]))
+    index = x.Index(x.TEMPLATES)
+    assert len(index.names) >= 25
+    found = 0
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = index.ids(split_words((r["text"] or "").encode()))
+        want = {n: m for n, w in zip(index.names, index.words) if (m := best(w, ids)) >= x.COVERAGE * len(w)}
+        mine = got.get(r["doc_id"], [])
+        assert {n for n, _ in mine} <= set(want), r["doc_id"]
+        for n, m in want.items():  # reported, or beside one that overlaps it and matches as much
+            assert any(n == k or c >= m for k, c in mine), (r["doc_id"], n)
+        found += len(mine)
+    assert found
+
+
+def test_whole_licenses_are_told_apart(spark):
+    rows = [(n, f"Copyright 2020 Somebody. All rights reserved.\n{t}\nend") for n, t in x.TEMPLATES.items()]
+    got = x.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    for i, (n, _) in enumerate(rows):
+        assert (n, 1.0) in {(r["license"], r["coverage"]) for r in got if r["doc_id"] == i}
+
+
+def test_few_edits_of_short_notices_always_hit():
+    """Whichever words change: as many as the coverage allows."""
+    index = x.Index(x.TEMPLATES)
+    for name, words in zip(index.names, index.words):
+        m = len(words)
+        if m > 17:
+            continue
+        text = split_words(x.TEMPLATES[name].encode())
+        for edits in itertools.combinations(range(m), int(m * (1 - x.COVERAGE) + 1e-9)):
+            t = b" ".join(b"zzz" if i in edits else w for i, w in enumerate(text))
+            ref = best(words, index.ids(t.split()))  # an edit near an end can cost the words beyond it
+            assert ref < x.COVERAGE * m or any(n == name for _, n, *_ in x.scan_texts(index, [t], x.COVERAGE)), (name, t)
+
+
 def test_query_finds_every_notice(spark):
     sf = "/root/testdata/sf0.01"
     lines = {t.lower(): n for n, t in x.TEMPLATES.items() if n.endswith("notice")}
