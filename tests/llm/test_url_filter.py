@@ -50,3 +50,13 @@ def test_empty(spark):
 def test_literal_tokens():
     assert x.literal_tokens("example.com", "/en/7") == ["com", "en", "example"]
     assert x.literal_tokens("h.io", "/ad*s/x*/img/") == ["h", "img", "io"]
+
+
+@pytest.mark.parametrize("most", [None, 0, 1, 2])
+def test_rules_without_tokens_all_judge(spark, most):
+    """However small the blocks, every rule judges every URL."""
+    rules = [("block", "+", "-/"), ("block", "-", "-/"), ("block", "+", "/"), ("allow", "-", "/*"), ("block", "~", ""), ("block", "example.com", "/x")]
+    urls = ["http://-.-/y", "http://+/", "http://+/-", "http://-/a", "http://a.~/b", "http://~", "http://example.com/x/-", "http://=/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in x.judge(pages, spark.createDataFrame(rules, "verdict string, host string, path string"), max_rules=most).collect()}
+    assert got == {i: brute(u, rules) for i, u in enumerate(urls)}

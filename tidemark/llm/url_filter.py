@@ -8,7 +8,9 @@ those run their regular expression. The longest fitting rule wins; of equal leng
 block wins. Without a rule the default verdict holds.
 
 Rule lists of at most ``MAX_RULES`` go to the tasks as an index; a larger list is
-joined by token, by a shuffle. Defined results: a null URL, or one without ``://``,
+joined by token, by a shuffle, and its rules without any literal token, which nothing
+can look up, are tried in blocks of about ``MAX_RULES``, each sent to all tasks in its
+turn: every rule judges every URL either way. Defined results: a null URL, or one without ``://``,
 has empty host and path and gets the default; rules with a null or empty host or an
 unknown verdict are ignored; repeated rules and rows do no harm; extra columns are
 ignored.
@@ -23,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.common import table
+from tidemark.sources.shared import written
 
 #: About 100 bytes a rule: 20 MB.
 MAX_RULES = 200_000
@@ -80,6 +83,7 @@ def _filed(rules: DataFrame, parsed: DataFrame) -> DataFrame:
     r = _parsed_rules(rules)
     named = r.select(F.explode("toks").alias("token")).distinct()
     seen = parsed.select(F.explode(tokens(F.concat("host", "path"))).alias("token"))
+    seen = seen.join(named, "token", "left_semi")  # only tokens that a rule has are counted
     counts = seen.groupBy("token").count().join(named, "token", "right").select("token", F.coalesce("count", F.lit(0)).alias("count"))
     ranked = r.select("verdict", "rule", "pattern", F.explode("toks").alias("token")).join(counts, "token")
     rare = ranked.groupBy("verdict", "rule", "pattern").agg(F.min(F.struct("count", "token")).alias("m")).select("verdict", "rule", "pattern", F.col("m.token").alias("token"))
@@ -89,10 +93,16 @@ def _filed(rules: DataFrame, parsed: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", max_rules: int | None = None) -> DataFrame:
     """A row per page: page_id, host, path, rule, verdict."""
     parsed = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    filed = _filed(rules, parsed).cache()
-    if filed.count() <= (MAX_RULES if max_rules is None else max_rules):
-        return _mapped(parsed, [tuple(r) for r in filed.select("verdict", "rule", "pattern", "token").collect()], default)
-    return _joined(parsed, filed, default)
+    filed = written(_filed(rules, parsed), "url-rules")
+    most = MAX_RULES if max_rules is None else max_rules
+    if filed.count() <= most:
+        return _mapped(parsed, _collected(filed), default)
+    return _joined(parsed, filed, default, max(1, most))
+
+
+def _collected(filed: DataFrame) -> list[tuple]:
+    """Rules on the driver: the caller bounds their number."""
+    return [tuple(r) for r in filed.select("verdict", "rule", "pattern", "token").collect()]
 
 
 def _mapped(parsed: DataFrame, filed: list[tuple], default: str) -> DataFrame:
@@ -123,15 +133,17 @@ def _mapped(parsed: DataFrame, filed: list[tuple], default: str) -> DataFrame:
     return parsed.mapInPandas(run, f"page_id {parsed.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, verdict string")
 
 
-def _joined(parsed: DataFrame, filed: DataFrame, default: str) -> DataFrame:
+def _joined(parsed: DataFrame, filed: DataFrame, default: str, block: int) -> DataFrame:
     """Candidates by a join on tokens; distinct addresses are judged once."""
-    url = parsed.select("host", "path").distinct()
+    url = written(parsed.select("host", "path").distinct(), "url-addresses")
     by = url.select("host", "path", F.explode(tokens(F.concat("host", "path"))).alias("token"))
-    cand = by.join(filed, "token").drop("token")
+    fit = by.join(filed, "token").where(F.expr("rlike(concat(host, path), pattern)")).select("host", "path", "verdict", "rule")
     free = filed.where("token IS NULL")
-    if not free.isEmpty():  # rules without any literal token have nothing to be found by
-        cand = cand.unionByName(url.join(F.broadcast(free.limit(MAX_RULES)), F.expr("rlike(concat(host, path), pattern)")).drop("token"))
-    fit = cand.where(F.expr("rlike(concat(host, path), pattern)"))
+    blocks = -(-free.count() // block)
+    for k in range(blocks):
+        part = _collected(free.where(F.pmod(F.xxhash64("rule", "verdict"), F.lit(blocks)) == k))
+        best_of = _mapped(url.withColumn("page_id", F.lit(0)), part, default).where("rule IS NOT NULL")
+        fit = fit.unionByName(best_of.select("host", "path", "verdict", "rule"))
     best = fit.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("verdict") == "block").alias("b"), "rule", "verdict")).alias("m"))
     return parsed.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("m.rule").alias("rule"), F.coalesce("m.verdict", F.lit(default)).alias("verdict"))
 
