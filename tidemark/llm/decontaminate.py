@@ -3,13 +3,13 @@
 Words are maximal runs of digits, letters a-z (A-Z lower-cased) and characters
 beyond ASCII. A window is ``n`` consecutive words of a benchmark item; an item of
 fewer words is one window. A document is scanned once: every position whose first
-and last word could bound a window (a bit set of bounded size inside the plan)
-becomes a candidate, candidates are joined with the whole windows, word for word,
+and last word could bound a window (a broadcast bit set, sized by the windows and
+bounded) becomes a candidate, candidates are joined with the whole windows, word for word,
 and hits give spans, which are removed alone or with their document.
 
 The windows are broadcast while they are at most ``MAX_BROADCAST``; a larger set is
-joined by a shuffle. Nothing but the windows, their lengths and the bit set of the
-benchmark reaches the driver or the plan.
+joined by a shuffle. Nothing but the windows' lengths and the bit set of the benchmark
+reaches the driver.
 
 Defined results: null and empty texts have no words; items without words have no
 windows; rows that repeat an item_id count once; a null item_id counts as the empty
@@ -28,8 +28,8 @@ NOT_WORD = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B
 WORD_AND_GAP = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+[^0-9A-Za-z\x{80}-\x{10FFFF}]*"
 #: Windows of about 100 bytes: 20 MB at most.
 MAX_BROADCAST = 200_000
-#: Bits of the set inside the plan, in words of 64.
-MAX_BIT_WORDS = 1 << 14
+#: Most words of 64 bits of the set: 8 MB, which holds four million windows at 16 bits each.
+MAX_BIT_WORDS = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -52,30 +52,29 @@ def _ends(first: str, last: str) -> str:
     return f"xxhash64({first}, {last})"
 
 
-def _bits(grams: DataFrame, count: int) -> tuple[str, int]:
-    """A literal array<bigint> over the windows' (first, last) word, and its number of bits."""
-    size = 1 << max(6, min(MAX_BIT_WORDS.bit_length() - 1, (max(1, count) * 16 // 64).bit_length()))
+def _bits(grams: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """One row with an array<bigint> ``_b`` over the windows' (first, last) word, and its number of bits."""
+    size = 1 << min(MAX_BIT_WORDS.bit_length() - 1, max(6, (max(1, count) * 16 // 64).bit_length()))
     g = grams.select(F.split("gram", " ").alias("g"))
     pos = F.expr(f"pmod({_ends('xxhash64(g[0])', 'xxhash64(element_at(g, -1))')}, {size * 64})")
-    rows = g.select(pos.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).collect()  # at most ``size`` rows
+    rows = g.select(pos.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).collect()  # at most ``size`` rows
     full = [0] * size
     for r in rows:
         full[r["word"]] = r["bits"]
-    return ",".join(map(str, full)), size * 64
+    return grams.sparkSession.createDataFrame([(0, full)], "_one int, _b array<bigint>"), size * 64
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """A row per document: doc_id, text_key, n_words, spans of hit words [start, end), items."""
-    grams = windows(benchmark, n).cache()
+    grams = written(windows(benchmark, n), "benchmark-windows")
     facts = grams.groupBy("len").count().collect()  # at most n rows
     count = sum(r["count"] for r in facts)
     d = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("_row"), words(F.col("text")).alias("_w"))
     d = d.withColumn("n_words", F.size("_w").cast("long"))
     if not count:
-        grams.unpersist()
         return d.select("doc_id", "text_key", "n_words", F.expr("CAST(array() AS array<struct<start: int, end: int>>)").alias("spans"), F.expr("CAST(array() AS array<string>)").alias("items"))
-    literal, n_bits = _bits(grams, count)
-    d = d.withColumn("_h", F.expr("transform(_w, x -> xxhash64(x))")).withColumn("_b", F.split(F.lit(literal), ",").cast("array<bigint>"))
+    bits, n_bits = _bits(grams, count)
+    d = d.withColumn("_h", F.expr("transform(_w, x -> xxhash64(x))")).withColumn("_one", F.lit(0)).join(F.broadcast(bits), "_one")
     found = []
     for r in sorted(r["len"] for r in facts):
         p = f"pmod({_ends('_h[i]', f'_h[i + {r - 1}]')}, {n_bits})"
@@ -88,13 +87,12 @@ def annotate(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     j = e.join(F.broadcast(side) if count <= MAX_BROADCAST else side, (F.col("len") == F.col("_len")) & e["gram"].eqNullSafe(side["gram"]), "left")
     hit = F.when(F.col("items").isNotNull(), F.struct("pos", "len"))
     out = j.groupBy("_row", "doc_id", "text_key", "n_words").agg(F.array_sort(F.collect_list(hit)).alias("_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    # Hits in order of position, joined to maximal runs.
-    runs = F.expr(
-        "aggregate(_hits, CAST(array() AS array<struct<start: int, end: int>>), (a, x) -> IF(size(a) > 0 AND x.pos <= element_at(a, -1).end,"
-        " concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start AS start, greatest(element_at(a, -1).end, x.pos + x.len) AS end))),"
-        " concat(a, array(struct(x.pos AS start, x.pos + x.len AS end)))))"
+    # Places that hits cover, in order; a span begins where the place before it is not covered.
+    out = out.withColumn("_c", F.expr("array_sort(array_distinct(flatten(transform(_hits, h -> sequence(h.pos, h.pos + h.len - 1)))))"))
+    spans = F.expr(
+        "zip_with(filter(_c, (x, i) -> i = 0 OR _c[i - 1] <> x - 1), filter(_c, (x, i) -> i = size(_c) - 1 OR _c[i + 1] <> x + 1), (a, z) -> struct(a AS start, z + 1 AS end))"
     )
-    return out.select("doc_id", "text_key", "n_words", runs.alias("spans"), "items")
+    return out.select("doc_id", "text_key", "n_words", spans.alias("spans"), "items")
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
