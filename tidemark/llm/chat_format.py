@@ -1,10 +1,11 @@
 """Reply trees to formatted conversations. DataFrame functions only.
 
 Messages (tree_id, node_id, parent_id, role, text, score) form trees. Iterative
-self-joins enumerate root-to-leaf paths: a jump table gives each node's ancestor at
-distance 2^k, and each round doubles the part of every leaf's path that is known, so
-a chain of a million replies takes twenty rounds. Branches are ranked per tree by
-the sum of their scores, the first ``top`` are formatted.
+self-joins climb them: a jump table gives each node's ancestor at distance 2^k and the
+sum of the scores up to it, so a chain of a million replies takes twenty rounds.
+Branches are ranked per tree by the sum of their scores, and the first ``top`` are
+expanded by the same tables, each of which doubles the part of a path that is known,
+and formatted; the other paths are never written out.
 
 Template: ``<|im_start|>role\\n text <|im_end|>\\n`` per turn (without the blanks).
 Escapes are reversible: ``\\`` is written ``\\0``, ``<`` as ``\\1``, ``[`` as ``\\2``
@@ -53,40 +54,62 @@ def _joined(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> Da
     return a.join(right, reduce(lambda x, y: x & y, both), how).drop(*(f"_on_{c}" for c in on))
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(tree_id, leaf_id, node_id, up): each leaf's path, ``up`` replies above the leaf."""
-    link = F.min(F.struct(F.col("parent_id").isNull().alias("n"), "parent_id", F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("t")))
-    nodes = messages.groupBy("tree_id", "node_id").agg(link.alias("m")).select("tree_id", "node_id", F.col("m.parent_id").alias("parent_id"))
-    nodes = cut_lineage(nodes)
+def _body(messages: DataFrame) -> DataFrame:
+    """A row per node: of repeated rows the least (by parent, role, text), with the greatest score."""
+    first = F.struct(F.col("parent_id").isNull().alias("n"), "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    one = messages.groupBy("tree_id", "node_id").agg(F.min(first).alias("m"), F.max("score").alias("score"))
+    return one.select("tree_id", "node_id", "m.parent_id", "m.role", "m.text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+
+
+def _climb(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(jump tables, leaves): table k has each node's ancestor at distance 2^k; a leaf that reaches a root has its branch's score.
+
+    A node's sum up to its jump is joined with the jump's own sum, so that branches are scored without their paths.
+    """
+    nodes = cut_lineage(_body(messages).select("tree_id", "node_id", "parent_id", "score"))
     known = nodes.select("tree_id", F.col("node_id").alias("up_id"))
-    jump = nodes.where("parent_id IS NOT NULL AND NOT parent_id <=> node_id").select("tree_id", "node_id", F.col("parent_id").alias("up_id"))
-    jump = cut_lineage(_joined(jump, known, ["tree_id", "up_id"], "left_semi").select("tree_id", "node_id", "up_id"))
-    inner = jump.select("tree_id", F.col("up_id").alias("node_id")).distinct()
-    part = _joined(nodes, inner, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).cast("long").alias("up"))
-    total, step = None, 1
-    while not jump.isEmpty():
+    up = nodes.where("parent_id IS NOT NULL AND NOT parent_id <=> node_id").select("tree_id", "node_id", F.col("parent_id").alias("up_id"), "score")
+    rest = cut_lineage(_joined(up, known, ["tree_id", "up_id"], "left_semi").select("tree_id", "node_id", "up_id", "score"))
+    roots = _joined(nodes.select("tree_id", "node_id", "score"), rest.select("tree_id", "node_id"), ["tree_id", "node_id"], "left_anti")
+    done = roots.select("tree_id", "node_id", F.col("score").alias("branch"))
+    jumps, total, step = [], None, 1
+    while not rest.isEmpty():
         total = nodes.count() if total is None else total
-        hop = jump.select("tree_id", "node_id", "up_id")
         if step > total:  # only cycles have ancestors this far away
-            part = _joined(part, hop.select("tree_id", F.col("node_id").alias("leaf_id")), ["tree_id", "leaf_id"], "left_anti")
             break
-        part = cut_lineage(part.unionByName(_joined(part, hop, ["tree_id", "node_id"]).select("tree_id", "leaf_id", F.col("up_id").alias("node_id"), (F.col("up") + step).alias("up"))))
-        above = hop.select("tree_id", F.col("node_id").alias("up_id"), F.col("up_id").alias("_far"))
-        jump = cut_lineage(_joined(hop, above, ["tree_id", "up_id"]).select("tree_id", "node_id", F.col("_far").alias("up_id")))
+        jumps.append(rest.select("tree_id", "node_id", "up_id"))
+        done = cut_lineage(done)
+        ends = done.select("tree_id", F.col("node_id").alias("up_id"), F.col("branch").alias("_b"))
+        above = rest.select("tree_id", F.col("node_id").alias("up_id"), F.col("up_id").alias("_far"), F.col("score").alias("_s"))
+        done = done.unionByName(_joined(rest, ends, ["tree_id", "up_id"]).select("tree_id", "node_id", (F.col("score") + F.col("_b")).alias("branch")))
+        rest = cut_lineage(_joined(rest, above, ["tree_id", "up_id"]).select("tree_id", "node_id", F.col("_far").alias("up_id"), (F.col("score") + F.col("_s")).alias("score")))
         step *= 2
+    if jumps:
+        done = _joined(done, jumps[0].select("tree_id", F.col("up_id").alias("node_id")).distinct(), ["tree_id", "node_id"], "left_anti")
+    return jumps, cut_lineage(done.withColumnRenamed("node_id", "leaf_id"))
+
+
+def _expanded(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(tree_id, leaf_id, node_id, up) of the paths of some leaves: each jump table doubles the part that is known."""
+    part = leaves.select("tree_id", "leaf_id", F.col("leaf_id").alias("node_id"), F.lit(0).cast("long").alias("up"))
+    for k, jump in enumerate(jumps):
+        part = cut_lineage(part.unionByName(_joined(part, jump, ["tree_id", "node_id"]).select("tree_id", "leaf_id", F.col("up_id").alias("node_id"), (F.col("up") + (1 << k)).alias("up"))))
     return part
 
 
+def paths(messages: DataFrame) -> DataFrame:
+    """(tree_id, leaf_id, node_id, up): each leaf's path, ``up`` replies above the leaf."""
+    jumps, leaves = _climb(messages)
+    return _expanded(leaves, jumps)
+
+
 def chosen(messages: DataFrame, top: int = 1) -> DataFrame:
-    """(tree_id, leaf_id, rank, turns): the best branches, turns from the root down."""
-    p = paths(messages)
-    body = messages.groupBy("tree_id", "node_id").agg(
-        F.min(F.struct(F.col("parent_id").isNull().alias("n"), "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("m"), F.max("score").alias("score")
-    ).select("tree_id", "node_id", "m.role", "m.text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    scored = _joined(p, body.select("tree_id", "node_id", "score"), ["tree_id", "node_id"]).groupBy("tree_id", "leaf_id").agg(F.sum("score").alias("branch"))
+    """(tree_id, leaf_id, rank, turns): the best branches, turns from the root down. Only their paths are written out."""
+    jumps, leaves = _climb(messages)
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("branch"), "leaf_id"))  # cut to ``top`` in each task first
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= top).select("tree_id", "leaf_id", "rank")
-    turns = _joined(_joined(p, best, ["tree_id", "leaf_id"]), body.drop("score"), ["tree_id", "node_id"])
+    best = cut_lineage(leaves.withColumn("rank", rank).where(F.col("rank") <= top).select("tree_id", "leaf_id", "rank"))
+    p = _joined(_expanded(best, jumps), best, ["tree_id", "leaf_id"])
+    turns = _joined(p, _body(messages).select("tree_id", "node_id", "role", "text"), ["tree_id", "node_id"])
     order = F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("pos"), "role", "text")))
     return turns.groupBy("tree_id", "leaf_id", "rank").agg(order.alias("turns"))
 
