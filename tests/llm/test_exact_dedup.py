@@ -40,6 +40,14 @@ def test_colliding_digests_are_told_apart_by_bytes(spark):
     assert got == sorted([r[:3] for r in brute(ROWS * 2)], key=str)
 
 
+def test_colliding_digests_keep_one_of_each_text(spark):
+    df = spark.createDataFrame(ROWS * 2, "doc_id long, text string")
+    weak = lambda t: F.substring(F.encode(t, "UTF-8"), 1, 1)
+    want = sorted({(k, sha) for _, k, _, sha in brute(ROWS * 2)}, key=str)
+    got = [(r["doc_id"], hashlib.sha256(re.sub(r"[\x20\x09-\x0d]", "", r["text"] or "").encode()).hexdigest()) for r in x.keep_unique(df, weak).collect()]
+    assert sorted(got, key=str) == want
+
+
 def test_repeated_rows_keep_one(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, " a"), (2, "b")], "doc_id long, text string")
     v = x.verdicts(df).collect()

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.common import bit_filter, free_name, table, with_maybe
 from tidemark.sources.fs import Files
-from tidemark.sources.shared import scratch
+from tidemark.sources.shared import scratch, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -95,16 +95,17 @@ class DigestIndex:
         return t.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where("lo <> hi").select("digest")
 
 
-def _judged(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, DigestIndex]:
-    """(rows with keep and n, joined per row; rows of colliding digests grouped by text; index)."""
+def _judged(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with keep and n, joined per row; rows of colliding digests grouped by text, if there are any)."""
     spark = docs.sparkSession
     ix = DigestIndex(spark, scratch(spark, "exact"), digest)
     ix.flush(docs, 0)
     ix.compact([0])
     rows = ix.flushed().join(ix.index(), "digest")
     bad = ix.collisions(docs, rows.where("n > 1"))
+    bad = written(bad, "exact-apart")
     if bad.isEmpty():
-        return rows, rows.limit(0), ix
+        return rows, None
     # Texts that share a digest: the whole text is the key; rows are found again by (digest, doc_id, chars).
     norm = normalised(F.col("text"))
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), norm.alias("norm"), digest(norm).alias("digest"))
@@ -113,38 +114,39 @@ def _judged(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFr
     t = spark.read.parquet(path)
     rank = F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("id_null"), "doc_id", "row")
     g = t.groupBy("norm").agg(F.min(rank).alias("keep"), F.count("*").alias("n"))
-    apart = t.join(g, "norm")
-    return rows.join(bad, "digest", "left_anti"), apart, ix
+    return rows.join(bad, "digest", "left_anti"), t.join(g, "norm")
 
 
 def verdicts(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """A row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chars."""
-    rows, apart, _ = _judged(docs, digest)
+    rows, apart = _judged(docs, digest)
     out = lambda df, sha: df.select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("keep.row")).alias("kept"), sha.alias("text_sha256"), F.col("chars").alias("n_chars")
     )
-    if digest is sha256:
-        return out(rows, F.lower(F.hex("digest")))
-    first = out(rows, F.lit(None).cast("string"))
-    return first.unionByName(out(apart, F.sha2("norm", 256))) if "norm" in apart.columns else first
+    first = out(rows, F.lower(F.hex("digest")) if digest is sha256 else F.lit(None).cast("string"))
+    return first if apart is None else first.unionByName(out(apart, F.sha2("norm", 256)))
 
 
-def keep_unique(docs: DataFrame) -> DataFrame:
+def keep_unique(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """The rows of ``docs`` that stay, all columns. Rows that are not near a dropped one are passed without a shuffle."""
-    rows, apart, _ = _judged(docs, sha256)
+    rows, apart = _judged(docs, digest)
     cols = docs.columns
-    if "norm" in apart.columns:
-        raise RuntimeError("two texts with one SHA-256")
-    gone = rows.where(F.col("row") != F.col("keep.row"))
+    lost = rows.where(F.col("row") != F.col("keep.row")).select("doc_id")
+    if apart is not None:
+        lost = lost.unionByName(apart.where(F.col("row") != F.col("keep.row")).select("doc_id"))
     m, dig, chars = free_name(docs, "_maybe"), free_name(docs, "_digest"), free_name(docs, "_chars")
-    marked = with_maybe(docs, bit_filter(gone, F.col("doc_id")), F.col("doc_id").cast("long"), m)
+    marked = with_maybe(docs, bit_filter(lost, F.col("doc_id")), F.col("doc_id").cast("long"), m)
     clear = marked.where(~F.col(m)).select(*cols)
-    near = marked.where(F.col(m)).withColumn(dig, sha256(normalised(F.col("text")))).withColumn(chars, F.length(F.coalesce("text", F.lit(""))).cast("long"))
-    keep = rows.where(F.col("row") == F.col("keep.row")).select(F.col("digest").alias("_d"), F.col("keep.doc_id").alias("_k"), (-F.col("keep.less")).alias("_c"))
-    stay = near.join(keep, (F.col(dig) == F.col("_d")) & (F.col(chars) == F.col("_c")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_k")))
+    near = marked.where(F.col(m)).withColumn(dig, digest(normalised(F.col("text")))).withColumn(chars, F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    stays = lambda df, key: df.where(F.col("row") == F.col("keep.row")).select(F.col(key).alias("_d"), F.col("keep.doc_id").alias("_k"), (-F.col("keep.less")).alias("_c"))
+    same = (F.col(dig) == F.col("_d")) & (F.col(chars) == F.col("_c")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_k"))
     # Rows repeated with one doc_id and text: one of them.
-    one = stay.groupBy(dig).agg(F.first(F.struct(*cols)).alias("_row")).select("_row.*")
-    return clear.unionByName(one)
+    one = lambda df, keep: df.join(keep, same).groupBy(dig).agg(F.first(F.struct(*cols)).alias("_row")).select("_row.*")
+    out = clear.unionByName(one(near, stays(rows, "digest")))
+    if apart is not None:  # the whole text is the key
+        hard = near.join(apart.select(F.col("digest").alias("_d")).distinct(), F.col(dig) == F.col("_d"), "left_semi")
+        out = out.unionByName(one(hard.withColumn(dig, normalised(F.col("text"))), stays(apart, "norm")))
+    return out
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
