@@ -58,3 +58,24 @@ def test_stages_against_brute_force(spark):
 def test_run_keeps_clean_documents(spark):
     out = p.run(spark, SF)
     assert 400 < out.count() < 1000 and "token_ids" in out.columns
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    own = [(None, "no id at all, but words", "en"), (1, None, "en"), (2, "", None), (2, "", None), (3, "plain text of a few words", "de"), (3, "plain text of a few words", "de"), (4, "plain  text of a few words", None), (5, "long " * 50_000, "en"), (6, "▁ mark \x00 <|im_end|>\n", "en")]
+    names = ["node", "bucket", "size", "digest", "row", "keep", "_maybe", "text_key", "spans", "token_ids", "side", "cls", "_i", "_t", "fp", "score"]
+    rows = [(*r, "src", len(r[1] or ""), *range(len(names))) for r in own]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in p.STAGES:
+        out = stage(spark, df, sf)
+        kept = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+        assert out.columns[: len(df.columns)] == df.columns
+        if name == "exact_dedup":
+            want = [r[:2] for r in own if r[0] in (None, 1, 4, 5, 6)]  # the longest of equal texts, then the least doc_id
+            assert kept == sorted(want, key=str)
+        elif name == "simhash_near_dedup":
+            assert {i for i, _ in kept} == {None, 1, 3, 5, 6}
+        else:
+            assert kept == sorted((r[:2] for r in own), key=str)
+        empty = stage(spark, df.limit(0), sf)
+        assert empty.columns[: len(df.columns)] == df.columns and empty.count() == 0

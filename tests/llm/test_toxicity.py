@@ -79,3 +79,73 @@ def test_edges(spark):
     assert [r["score"] for r in x.score(df, model).collect()] == [0.0] * 4
     assert x.reject(df, model).columns == df.columns and x.reject(df, model).count() == 4
     assert x.score(df.limit(0), model).count() == 0
+
+
+def slow_score(model, text):
+    """A document's score by loops over windows, words and units, with the parameters only."""
+    import xxhash
+
+    from tidemark.llm.common import split_words
+
+    p, h, m64 = {k: v.astype(np.float64) for k, v in model.net.p.items()}, x.HIDDEN, (1 << 64) - 1
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def vector(word):
+        c = [1, *map(ord, word.decode("utf-8", "replace")), 2]
+        slots = []
+        for a in range(len(c)):
+            v = c[a] + 0x9E37
+            for n in range(2, 6):
+                if a + n > len(c):
+                    break
+                v = v * 0x9E3779B97F4A7C15 & m64
+                v = (v ^ v >> 31) + c[a + n - 1] & m64
+                if n > 2:
+                    slots.append((v * 0xD6E8FEB86659FD93 & m64) >> 40 & (x.CHAR_SLOTS - 1))
+        w = xxhash.xxh32_intdigest(word) & (x.WORD_SLOTS - 1)
+        odds = [float(model.char_odds[s]) for s in slots]
+        return np.concatenate([[model.word_odds[w], sum(odds) / len(odds), max(odds)], p["word"][w], sum(p["char"][s] for s in slots) / len(slots)])
+
+    def states(vectors, w, b, u):
+        s, out = np.zeros(h), []
+        for v in vectors:
+            g = v @ w + b
+            z, r = sig(g[:h] + s @ u[:, :h]), sig(g[h : 2 * h] + s @ u[:, h : 2 * h])
+            n = np.tanh(g[2 * h :] + r * (s @ u[:, 2 * h :]))
+            s = z * s + (1 - z) * n
+            out.append(s)
+        return out
+
+    words = split_words(text)
+    starts = [*range(0, max(0, len(words) - x.WINDOW), x.STRIDE), max(0, len(words) - x.WINDOW)]
+    best = -1e9
+    for a in starts:
+        vectors = [vector(w) for w in words[a : a + x.WINDOW]]
+        if vectors:
+            both = [np.r_[f, b] for f, b in zip(states(vectors, p["wf"], p["bf"], p["uf"]), reversed(states(vectors[::-1], p["wb"], p["bb"], p["ub"])))]
+            e = np.array([np.tanh(s @ p["a"]) @ p["v"] for s in both])
+            e = np.exp(e - e.max())
+            pooled = sum(w * s for w, s in zip(e / e.sum(), both))
+        else:
+            pooled = np.zeros(2 * h)
+        best = max(best, float(pooled @ p["o"] + p["c"][0]))
+    return sig(best)
+
+
+def test_scores_equal_loops_over_all_windows(spark, monkeypatch):
+    monkeypatch.setattr(x, "ROUNDS", 2)
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    model = x.fit_texts(rows[:60], [i % 2 for i in range(60)])
+    some = sorted(rows[60:], key=len)[-3:] + rows[60:120] + [b"", b"one", "é ü".encode() * 40]
+    got = x.Scorer(model)(some)
+    assert np.abs(got - np.array([slow_score(model, t) for t in some])).max() < 1e-4
+
+
+def test_sample_is_bounded_in_bytes_and_trained_in_a_task(spark):
+    docs = spark.createDataFrame([(i, ("nasty " if i % 2 else "kind ") * (400 if i < 40 else 4)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    for bound in (1 << 20, 4000):
+        model = x.fit(docs, labels, max_bytes=bound)
+        s = {r["doc_id"]: r["score"] for r in x.score(docs, model).collect()}
+        assert min(s[i] for i in range(1, 200, 2)) > max(s[i] for i in range(0, 200, 2))

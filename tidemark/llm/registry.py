@@ -6,7 +6,7 @@ from tidemark.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from tidemark.llm.license_scan import op10_license_scan
 from tidemark.llm.pieces import op8_sentencepiece
 from tidemark.llm.simhash import op2_simhash
-from tidemark.llm.suffix_dedup import op7_suffix_dedup
+from tidemark.llm.suffix_dedup import OP7_SQL, op7_suffix_dedup
 from tidemark.llm.token_counts import op1_token_counts
 from tidemark.llm.toxicity import op9_toxicity
 from tidemark.llm.url_filter import OP5_SQL, op5_url_filter
@@ -28,4 +28,5 @@ ORACLE_SQL = {
     "op4_exact_dedup": OP4_SQL,
     "op5_url_filter": OP5_SQL,
     "op6_decontaminate": OP6_SQL,
+    "op7_suffix_dedup": OP7_SQL,
 }

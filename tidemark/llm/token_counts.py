@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import table, tidy, utf8
+from tidemark.llm.common import small, table, tidy, utf8
 from tidemark.sources.fs import Files
 from tidemark.sources.shared import scratch, written
 
@@ -59,7 +59,7 @@ def count_tokens(docs: DataFrame, version: str, counter: Callable[[list[str]], l
     shared = docs.sparkSession.sparkContext.broadcast(counter)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 3):
             n = shared.value([t.decode("utf-8", "replace") for t in utf8(b.column(3))])
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64())], ["doc_id", "source", "lang", "tokens"])
 
