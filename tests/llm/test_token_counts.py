@@ -30,6 +30,11 @@ def test_inserts_deletes_revisions_and_replays(spark, tmp_path):
     again.apply("three", rows(spark, (3, "a", "fr", "v2", 8)))
     assert totals(again) == {("c", "en", "v2"): (1, 4), ("a", "fr", "v2"): (1, 8), ("b", "en", "v1"): (1, 0)}
     assert not again.apply("two", None, gone)
+    again.compact()
+    again.apply("four", None, spark.createDataFrame([(1,), (2,)], "doc_id long"))
+    assert totals(again) == {("a", "fr", "v2"): (1, 8), ("b", "en", "v1"): (1, 0)}
+    again.files.delete("entries/batch=one")  # nothing reads what a base stands for
+    assert {r["doc_id"] for r in again.current().collect()} == {3, 4}
 
 
 def test_broken_batch_is_not_seen(spark, tmp_path):

@@ -5,7 +5,8 @@ recorded count away, and a revised count does both. Each batch also writes its s
 source, language and tokenizer version; totals are the sums of these deltas and never
 read the documents again. A batch is visible once its commit file is published by
 rename; applying a committed batch again changes nothing, and a batch that broke off
-overwrites its own files when it is run again.
+overwrites its own files when it is run again. Compaction folds what is committed into a
+base batch, which stands for all before it; a ledger has one writer at a time.
 
 Defined results: a null text has no tokens; null source and language are groups of
 their own; a null doc_id is an ordinary id. Of rows that repeat a doc_id within a
@@ -92,7 +93,7 @@ class Ledger:
 
     def current(self) -> DataFrame:
         """Documents that are counted now: signed rows of one document and count cancel out."""
-        e = self._read("entries", ENTRY, [b for b in self.commits() if not b.startswith("base-")])
+        e = self._read("entries", ENTRY, self._live())
         return e.groupBy("doc_id", "source", "lang", "version", "tokens").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
 
     def apply(self, batch: str, writes: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
@@ -126,9 +127,10 @@ class Ledger:
         return d.groupBy("source", "lang", "version").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
 
     def compact(self) -> None:
-        """Folds all deltas into one; entries stay, since deletes need the recorded counts."""
+        """Folds all deltas into one, and all entries into a row per document that is counted now; later batches read no older ones."""
         live = self._live()
         name = f"base-{len(self.commits()):09d}"
+        self.current().withColumn("sign", F.lit(1)).write.mode("overwrite").parquet(f"{self.root}/entries/batch={name}")
         self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.root}/deltas/batch={name}")
         self.files.publish(f"commits/{name}.json", json.dumps({"covers": [*live, *[b for b in self.commits() if b not in live]]}))
 
