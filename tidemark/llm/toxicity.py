@@ -372,7 +372,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_texts(texts, labels_))], pa.binary())], ["model"])
 
     rows = text.orderBy(F.xxhash64("doc_id"), "doc_id").select("_toxic", "text").coalesce(1)  # at most max_docs documents
-    return pickle.loads(rows.mapInArrow(tidy(run), "model binary").first()["model"])
+    row = rows.mapInArrow(tidy(run), "model binary").first()
+    return pickle.loads(row["model"]) if row else Model()
 
 
 # scoring ------------------------------------------------------------------
