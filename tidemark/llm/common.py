@@ -27,6 +27,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def wrapped(df: DataFrame) -> DataFrame:
+    """All columns as one struct ``d``, so that no name in ``df`` clashes with a join's own; ``d.*`` unwraps it."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("d"))
+
+
 def bit_filter(keys: DataFrame, key: Column, words: int = 1 << 18) -> DataFrame:
     """A bit set over hashed keys as rows (word, bits): at most ``words`` rows, whatever the input.
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import bit_filter, free_name, table, with_maybe
+from tidemark.llm.common import bit_filter, table, with_maybe, wrapped
 from tidemark.sources.shared import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -109,21 +109,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "docum
     """
     if mode not in ("document", "span"):
         raise ValueError("mode is document or span")
-    cols = docs.columns
     bad = annotate(docs, benchmark, n).where(F.size("spans") > 0).select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k"), F.col("spans").alias("_spans")).dropDuplicates(["_i", "_k"])
     bad = written(bad, "contaminated")  # read twice below
-    m = free_name(docs, "_maybe")
-    marked = with_maybe(docs, bit_filter(bad, F.col("_k")), F.xxhash64("text"), m)
-    clear, near = marked.where(~F.col(m)).select(*cols), marked.where(F.col(m))
-    on = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_k"))
+    marked = with_maybe(wrapped(docs), bit_filter(bad, F.col("_k")), F.xxhash64("d.text"), "_maybe")
+    clear, near = marked.where("NOT _maybe").select("d.*"), marked.where("_maybe")
+    on = F.col("d.doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("d.text") == F.col("_k"))
     if mode == "document":
-        return clear.unionByName(near.join(bad, on, "left_anti").select(*cols))
-    tokens = F.regexp_extract_all("text", F.lit(WORD_AND_GAP), F.lit(0))
-    head = F.regexp_extract("text", r"^[^0-9A-Za-z\x{80}-\x{10FFFF}]*", 0)
+        return clear.unionByName(near.join(bad, on, "left_anti").select("d.*"))
+    tokens = F.regexp_extract_all("d.text", F.lit(WORD_AND_GAP), F.lit(0))
+    head = F.regexp_extract("d.text", r"^[^0-9A-Za-z\x{80}-\x{10FFFF}]*", 0)
     cut = near.join(bad, on, "left").withColumn("_t", tokens).withColumn("_head", head)
     kept = F.expr("concat(_head, array_join(filter(_t, (t, i) -> NOT exists(_spans, s -> i >= s.start AND i < s.end)), ''))")
-    cut = cut.withColumn("_new", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept))
-    return clear.unionByName(cut.select(*[F.col("_new").alias("text") if c == "text" else F.col(c) for c in cols]))
+    cut = cut.withColumn("_new", F.when(F.col("_spans").isNull(), F.col("d.text")).otherwise(kept))
+    return clear.unionByName(cut.select(*[F.col("_new").alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

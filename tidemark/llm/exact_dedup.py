@@ -23,7 +23,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import bit_filter, free_name, table, with_maybe
+from tidemark.llm.common import bit_filter, table, with_maybe, wrapped
 from tidemark.sources.fs import Files
 from tidemark.sources.shared import scratch, written
 
@@ -130,22 +130,21 @@ def verdicts(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Da
 def keep_unique(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """The rows of ``docs`` that stay, all columns. Rows that are not near a dropped one are passed without a shuffle."""
     rows, apart = _judged(docs, digest)
-    cols = docs.columns
     lost = rows.where(F.col("row") != F.col("keep.row")).select("doc_id")
     if apart is not None:
         lost = lost.unionByName(apart.where(F.col("row") != F.col("keep.row")).select("doc_id"))
-    m, dig, chars = free_name(docs, "_maybe"), free_name(docs, "_digest"), free_name(docs, "_chars")
-    marked = with_maybe(docs, bit_filter(lost, F.col("doc_id")), F.col("doc_id").cast("long"), m)
-    clear = marked.where(~F.col(m)).select(*cols)
-    near = marked.where(F.col(m)).withColumn(dig, digest(normalised(F.col("text")))).withColumn(chars, F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    own = F.col("d.doc_id").cast("long")
+    marked = with_maybe(wrapped(docs), bit_filter(lost, F.col("doc_id")), own, "_maybe")
+    clear = marked.where("NOT _maybe").select("d.*")
+    near = marked.where("_maybe").withColumn("_digest", digest(normalised(F.col("d.text")))).withColumn("_chars", F.length(F.coalesce("d.text", F.lit(""))).cast("long"))
     stays = lambda df, key: df.where(F.col("row") == F.col("keep.row")).select(F.col(key).alias("_d"), F.col("keep.doc_id").alias("_k"), (-F.col("keep.less")).alias("_c"))
-    same = (F.col(dig) == F.col("_d")) & (F.col(chars) == F.col("_c")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_k"))
+    same = (F.col("_digest") == F.col("_d")) & (F.col("_chars") == F.col("_c")) & own.eqNullSafe(F.col("_k"))
     # Rows repeated with one doc_id and text: one of them.
-    one = lambda df, keep: df.join(keep, same).groupBy(dig).agg(F.first(F.struct(*cols)).alias("_row")).select("_row.*")
+    one = lambda df, keep: df.join(keep, same).groupBy("_digest").agg(F.first("d").alias("d")).select("d.*")
     out = clear.unionByName(one(near, stays(rows, "digest")))
     if apart is not None:  # the whole text is the key
-        hard = near.join(apart.select(F.col("digest").alias("_d")).distinct(), F.col(dig) == F.col("_d"), "left_semi")
-        out = out.unionByName(one(hard.withColumn(dig, normalised(F.col("text"))), stays(apart, "norm")))
+        hard = near.join(apart.select(F.col("digest").alias("_d")).distinct(), F.col("_digest") == F.col("_d"), "left_semi")
+        out = out.unionByName(one(hard.withColumn("_digest", normalised(F.col("d.text"))), stays(apart, "norm")))
     return out
 
 

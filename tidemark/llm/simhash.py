@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import bit_filter, free_name, small, table, tidy, utf8, with_maybe
+from tidemark.llm.common import bit_filter, small, table, tidy, utf8, with_maybe, wrapped
 from tidemark.sources.shared import cut_lineage, written
 
 SEED, RADIUS, SHINGLE = 42, 3, 3
@@ -481,11 +481,11 @@ def _candidates(reps: DataFrame, chunk: int) -> DataFrame:
     return comp.unionByName(comp.select(F.col("component").alias("node"), "component")).distinct()
 
 
-def _picked(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, str, Column]:
-    """(docs, the name of a marking column in it, condition to join ``keys`` on): only marked rows can be among the keys (doc_id and hash of the text)."""
-    m = free_name(docs, "_maybe")
-    key = F.struct(F.col("doc_id").cast("long").alias("a"), F.xxhash64("text").alias("b"))
-    return with_maybe(docs, bit_filter(keys, F.struct(F.col("_i").alias("a"), F.col("_t").alias("b"))), key, m), m, F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_t"))
+def _picked(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, Column]:
+    """(docs wrapped, with the column ``_maybe``; condition to join ``keys`` on): only marked rows can be among the keys (doc_id and hash of the text)."""
+    own = F.col("d.doc_id").cast("long"), F.xxhash64("d.text")
+    marked = with_maybe(wrapped(docs), bit_filter(keys, F.struct(F.col("_i").alias("a"), F.col("_t").alias("b"))), F.struct(own[0].alias("a"), own[1].alias("b")), "_maybe")
+    return marked, own[0].eqNullSafe(F.col("_i")) & (own[1] == F.col("_t"))
 
 
 def _similar_edges(docs: DataFrame, units: DataFrame, k: int) -> DataFrame:
@@ -509,9 +509,8 @@ def _similar_edges(docs: DataFrame, units: DataFrame, k: int) -> DataFrame:
             if u:
                 yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
 
-    marked, m, on = _picked(docs, units)
-    texts = marked.where(F.col(m)).select("doc_id", F.col("text").alias("_text")).join(units, F.expr("CAST(doc_id AS BIGINT) <=> _i AND xxhash64(_text) = _t"))
-    texts = texts.select(*by, "side", "node", "cls", F.coalesce("_text", F.lit("")).cast("binary").alias("text"))
+    marked, on = _picked(docs.select("doc_id", "text"), units)
+    texts = marked.where("_maybe").join(units, on).select(*by, "side", "node", "cls", F.coalesce("d.text", F.lit("")).cast("binary").alias("text"))
     return texts.repartition(*by).sortWithinPartitions(*by, "node").mapInPandas(tidy(run), "u long, v long")
 
 
@@ -548,10 +547,9 @@ def keep_one(docs: DataFrame, k: int = WIDE_SHINGLE, chunk: int = CHUNK, unit: i
 
     Rows that repeat both doc_id and text count as one document and stay or go together.
     """
-    cols = docs.columns
     gone = written(similar(docs, k, chunk, unit).where("NOT keeper").select(F.col("doc_id").alias("_i"), F.col("tie").alias("_t")), "similar-gone")
-    marked, m, on = _picked(docs, gone)
-    return marked.where(~F.col(m)).select(*cols).unionByName(marked.where(F.col(m)).join(gone, on, "left_anti").select(*cols))
+    marked, on = _picked(docs, gone)
+    return marked.where("NOT _maybe").select("d.*").unionByName(marked.where("_maybe").join(gone, on, "left_anti").select("d.*"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
