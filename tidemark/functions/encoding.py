@@ -1,4 +1,4 @@
-"""Size arithmetic as column expressions."""
+"""Size arithmetic, checksums and time stamps as column expressions."""
 
 from __future__ import annotations
 
@@ -23,3 +23,23 @@ def encoded_size(key: Column, value: Column) -> Column:
 def memory_estimate(key: str, value: str, pointer_bytes: int = 16) -> Column:
     """Bytes of an in-memory entry, with the expected size of its links."""
     return F.octet_length(key) + F.coalesce(F.octet_length(value), F.lit(0)) + pointer_bytes
+
+
+def checksum(payload: Column) -> Column:
+    """CRC-32 of a binary or of a text in UTF-8, unsigned."""
+    return F.crc32(payload.cast("binary"))
+
+
+def pack(payload: Column) -> Column:
+    """(crc, payload)."""
+    return F.struct(checksum(payload).alias("crc"), payload.alias("payload"))
+
+
+def unpack(packed: Column) -> Column:
+    """The payload, or null if its checksum is wrong."""
+    return F.when(checksum(packed["payload"]) == packed["crc"], packed["payload"])
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a time stamp without zone, which counts as UTC whatever the session's zone."""
+    return F.unix_micros(F.concat(ts.cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import bloom
-from tidemark.functions.encoding import encoded_size, memory_estimate
+from tidemark.functions.encoding import encoded_size, memory_estimate, micros, pack, unpack
 from tidemark.operators import fold, mutate, ordered, stats
 from tidemark.plans import compaction, requests
 from tidemark.schema import mutations, pad_key
@@ -212,6 +212,18 @@ def record_sizes(spark, d):
     return docs.select("doc_id", encoded_size(k, v).alias("encoded"), memory_estimate(k, v).cast("long").alias("memory"))
 
 
+def record_frames(spark, d):
+    """Events as framed records; the payload of errors is damaged after framing and doesn't come back."""
+    e = table(spark, d, "events")
+    framed = e.select("event_id", "event_type", pack(F.concat_ws("|", "event_type", "props")).alias("f"))
+    damaged = F.struct(F.col("f.crc").alias("crc"), F.when(F.col("event_type") == "error", F.concat("f.payload", F.lit("!"))).otherwise(F.col("f.payload")).alias("payload"))
+    return framed.withColumn("f", damaged).select("event_id", unpack(F.col("f")).alias("payload"))
+
+
+def event_micros(spark, d):
+    return table(spark, d, "events").select("event_id", micros(F.col("ts")).alias("micros"))
+
+
 def _requests(spark, d):
     c = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("req_id"), "conv_id", "turn")
     kind = F.col("turn") % 4
@@ -385,7 +397,7 @@ QUERIES = {
     for f in (
         live_state, range_live, range_with_tombstones, point_get, multi_get, delete_effective, delete_if_exists, batch_put_last_wins, upsert_two_sources, get_all_sorted,
         flush_runs, run_manifest, pruned_range, sparse_index, index_seek, bloom_bits, bloom_contains, bloom_sizing, run_overlap, compaction_merge, compaction_bottom,
-        compaction_pick, compaction_select, level_counts, wal_replay, wal_checksum, engine_stats, memtable_stats, record_sizes, request_validate, request_writes, request_gets,
+        compaction_pick, compaction_select, level_counts, wal_replay, wal_checksum, engine_stats, memtable_stats, record_sizes, record_frames, event_micros, request_validate, request_writes, request_gets,
         request_errors, request_batches, request_batch_writes, request_deletes, get_body, range_response, range_body, health, stats_response, stream_live_state, store_round_trip,
         store_reopen, store_range, store_levels,
     )
@@ -433,6 +445,8 @@ ORACLE_SQL = {
     "engine_stats": f"WITH {EVENT_LOG}, h AS (SELECT *, lag(is_tombstone) OVER (PARTITION BY key ORDER BY seq) AS was FROM log) SELECT CAST(sum(CASE WHEN NOT is_tombstone THEN 1 ELSE 0 END) AS BIGINT) AS puts, CAST(sum(CASE WHEN is_tombstone THEN 1 ELSE 0 END) AS BIGINT) AS delete_attempts, CAST(count(DISTINCT key) AS BIGINT) AS distinct_keys, CAST(sum(CASE WHEN is_tombstone AND NOT was THEN 1 ELSE 0 END) AS BIGINT) AS deletes FROM h",
     "memtable_stats": f"WITH {EVENT_LOG} SELECT CAST(count(*) AS BIGINT) AS memtable_size, CAST(sum(strlen(key) + coalesce(strlen(value), 0) + 16) AS BIGINT) AS memtable_memory FROM {LATEST}",
     "record_sizes": f"SELECT doc_id, CAST(13 + {_VARINT.format("strlen(coalesce(text, ''))")} + strlen(coalesce(text, '')) AS BIGINT) AS encoded, CAST(12 + strlen(coalesce(text, '')) + 16 AS BIGINT) AS memory FROM documents",
+    "record_frames": "SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE concat_ws('|', event_type, props) END AS payload FROM events",
+    "event_micros": "SELECT event_id, epoch_us(ts) AS micros FROM events",
     "request_validate": f"WITH {_REQUESTS} SELECT req_id, status_code FROM v",
     "request_writes": f"WITH {_REQUESTS} SELECT DISTINCT 'c' || conv_id AS key, 'v' AS value FROM v WHERE status_code = 200",
     "request_gets": f"WITH {EVENT_LOG}, s AS (SELECT * FROM {LATEST} WHERE NOT is_tombstone) SELECT c_custkey AS req_id, CAST(CASE WHEN s.key IS NULL THEN 404 ELSE 200 END AS INTEGER) AS status_code FROM customer LEFT JOIN s ON s.key = lpad(CAST(c_custkey AS VARCHAR), 12, '0')",
