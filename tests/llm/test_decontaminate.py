@@ -76,3 +76,15 @@ def test_empty_tables(spark):
     assert x.verdicts(d.limit(0), b).count() == 0
     assert x.verdicts(d, b.limit(0)).where("contaminated").count() == 0
     assert x.clean(d, b.limit(0)).count() == len(DOCS)
+
+
+def test_full_filters_let_more_pass_and_change_nothing(spark, monkeypatch):
+    from tidemark.llm import common
+
+    d, b = frames(spark)
+    want = sorted(r["doc_id"] for r in x.clean(d, b).collect())
+    monkeypatch.setattr(x, "MAX_BIT_WORDS", 1)
+    for f in (common.bit_filter, common.with_maybe):
+        monkeypatch.setattr(x, f.__name__, lambda *a, f=f: f(*a, words=1))
+    assert sorted(r["doc_id"] for r in x.clean(d, b).collect()) == want
+    assert sorted(map(tuple, x.verdicts(d, b).collect()), key=str) == brute(DOCS, ITEMS)

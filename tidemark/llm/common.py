@@ -11,7 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Most words of 64 bits in a broadcast filter: 16 bytes a row, so 16 MB of rows.
+#: Words of 64 bits in a broadcast filter: 16 bytes a row, so 16 MB of rows at most. It tells some six million keys
+#: apart; with more it fills and lets more rows pass, at most all of them once.
 MAX_WORDS = 1 << 20
 
 
@@ -32,7 +33,7 @@ def wrapped(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("d"))
 
 
-def bit_filter(keys: DataFrame, key: Column, words: int = 1 << 18) -> DataFrame:
+def bit_filter(keys: DataFrame, key: Column, words: int = MAX_WORDS) -> DataFrame:
     """A bit set over hashed keys as rows (word, bits): at most ``words`` rows, whatever the input.
 
     A full filter only passes more; it never drops a key that is in the set.
@@ -42,7 +43,7 @@ def bit_filter(keys: DataFrame, key: Column, words: int = 1 << 18) -> DataFrame:
     return keys.select(pos.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits"))
 
 
-def with_maybe(df: DataFrame, bits: DataFrame, key: Column, name: str, words: int = 1 << 18) -> DataFrame:
+def with_maybe(df: DataFrame, bits: DataFrame, key: Column, name: str, words: int = MAX_WORDS) -> DataFrame:
     """Adds the boolean ``name``: false means that the key is not in the set. The set is broadcast; its size is bounded."""
     words = min(words, MAX_WORDS)
     pos = F.pmod(F.xxhash64(key), F.lit(words * 64))
