@@ -315,12 +315,12 @@ def fit_texts(texts: list[bytes], labels: list[int], seed: int = 0) -> Model:
 
     for turn in range(ROUNDS):
         if turn:
-            for k in range(0, len(ids), 4096):
-                part = ids[k : k + 4096]
+            for k in range(0, len(ids), 1024):
+                part = ids[k : k + 1024]
                 r, inv = np.unique(part, return_inverse=True)
                 x, *_ = input_rows(r[r < base])
                 gates = np.concatenate([net.projected(x), np.zeros((1, 6 * HIDDEN), np.float32)])
-                score[k : k + 4096] = net.forward(gates, np.where(part == base, len(x), inv.reshape(part.shape)))
+                score[k : k + 1024] = net.forward(gates, np.where(part == base, len(x), inv.reshape(part.shape)))
         order = np.lexsort((-score, owner))
         place = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(y)))[owner[order]]
         use = order[place < np.where(y[owner[order]] > 0, 1, 3)]
