@@ -34,7 +34,7 @@ from tidemark.llm.common import free_name, small, table, tidy, utf8
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LITERAL = "\ud800"  # stands for a literal mark inside a word: no text in UTF-8 has it
-CACHE, PAIRS = 120_000, 120_000
+CACHE, PAIRS = 90_000, 90_000
 
 
 class Vocabulary:
