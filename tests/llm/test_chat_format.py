@@ -73,3 +73,13 @@ def test_null_conversation_is_one(spark):
     c = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "c")], "conv_id long, turn int, role string, text string")
     got = {r["tree_id"]: [t["text"] for t in r["turns"]] for r in x.format_trees(x.linear(c)).collect()}
     assert got == {None: ["a", "b"], 1: ["c"]}
+
+
+def test_comb_writes_out_the_best_path_only(spark, monkeypatch):
+    rows = [(1, i, i - 1 if i else None, "user", f"s{i}", 0.0) for i in range(120)] + [(1, 1000 + i, i, "assistant", f"l{i}", 5.0 if i == 90 else -1.0) for i in range(120)]
+    df = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, role string, text string, score double")
+    seen, expanded = [], x._expanded
+    monkeypatch.setattr(x, "_expanded", lambda leaves, jumps: seen.append(expanded(leaves, jumps)) or seen[-1])
+    (best,) = x.chosen(df).collect()
+    assert best["leaf_id"] == 1090 and [t["text"] for t in best["turns"]] == [f"s{i}" for i in range(91)] + ["l90"]
+    assert seen[0].count() == 92

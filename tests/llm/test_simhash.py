@@ -37,8 +37,9 @@ def family(rng, n, flips):
     return out
 
 
-@pytest.mark.parametrize("radius,chunk", [(3, None), (3, 16), (1, None), (5, 40)])
-def test_classes_against_brute_force(spark, radius, chunk):
+@pytest.mark.parametrize("radius,chunk,few", [(3, None, x.FEW), (3, 16, 0), (1, None, x.FEW), (5, 40, 0)])
+def test_classes_against_brute_force(spark, monkeypatch, radius, chunk, few):
+    monkeypatch.setattr(x, "FEW", few)
     rng = random.Random(radius)
     fps = family(rng, 300, 8) + [rng.getrandbits(64) for _ in range(100)] + [0, 0, (1 << 64) - 1]
     df = spark.createDataFrame([(i, signed(f)) for i, f in enumerate(fps)], "doc_id long, fp long")

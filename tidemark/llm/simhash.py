@@ -18,7 +18,7 @@ same way, and only what is then still larger is cut into chunks by hash, each pa
 chunks a unit of its own, so that no task holds more than two chunks. Units return
 the edges of a spanning forest, fewer than their rows, never all pairs.
 Components are found by alternating large-star and small-star steps on the edges,
-with a reliable checkpoint per round.
+with a reliable checkpoint per round, or in one task where edges are few.
 
 Defined results: null and empty texts have fingerprint zero, like all texts without
 words; repeated rows get equal results; a document with a null doc_id links and
@@ -44,6 +44,8 @@ SEED, RADIUS, SHINGLE = 42, 3, 3
 FAN = 8
 #: Least size of a chunk; larger where an average group is large.
 CHUNK = 2048
+#: Most edges whose components one task finds.
+FEW = 500_000
 #: Pairs of query and node that are held at once.
 FRONTIER = 2_000_000
 
@@ -282,8 +284,22 @@ def _edges(units: DataFrame, words: list[str], radius: int | None, node: str) ->
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for edges (u, v), u > v; component is the least node reachable."""
+    """(node, component) for edges (u, v), u > v; component is the least node reachable.
+
+    Up to ``FEW`` edges, 16 bytes each, are solved in one task; more are contracted in rounds.
+    """
     now = cut_lineage(edges.where("u <> v").select("u", "v").distinct())
+    if now.count() <= FEW:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            one = pd.concat([pd.DataFrame({"u": [], "v": []}, dtype=np.int64), *batches])
+            names, at = np.unique(one[["u", "v"]].to_numpy(), return_inverse=True)
+            at = at.reshape(-1, 2)
+            label = forest(len(names), iter([(at[:, 0], at[:, 1])]))
+            some = np.flatnonzero(label != np.arange(len(label)))
+            yield pd.DataFrame({"node": names[some], "component": names[label[some]]})
+
+        return cut_lineage(now.coalesce(1).mapInPandas(tidy(run), "node long, component long"))
     before = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
@@ -465,6 +481,7 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
             ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
             columns = [pa.array(size, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), *(pa.array(f[:, i]) for i in range(WIDE)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "tie", "size", "d0", "d1", *PRINTS, "keys"])
+        _KNOWN.clear()  # the worker lives on
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text"))
     schema = "doc_id long, tie long, size long, d0 long, d1 long, " + ", ".join(f"{w} long" for w in PRINTS) + ", keys array<long>"
@@ -508,6 +525,7 @@ def _similar_edges(docs: DataFrame, units: DataFrame, k: int) -> DataFrame:
                 v.append(np.minimum(node[linked], node[label[linked - a]]))
             if u:
                 yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
+        _KNOWN.clear()
 
     marked, on = _picked(docs.select("doc_id", "text"), units)
     texts = marked.where("_maybe").join(units, on).select(*by, "side", "node", "cls", F.coalesce("d.text", F.lit("")).cast("binary").alias("text"))
