@@ -54,6 +54,11 @@ def _joined(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> Da
     return a.join(right, reduce(lambda x, y: x & y, both), how).drop(*(f"_on_{c}" for c in on))
 
 
+def _union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Both, in no more partitions than a shuffle makes: rounds of unions would add up theirs."""
+    return a.unionByName(b).coalesce(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _body(messages: DataFrame) -> DataFrame:
     """A row per node: of repeated rows the least (by parent, role, text), with the greatest score."""
     first = F.struct(F.col("parent_id").isNull().alias("n"), "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -81,7 +86,7 @@ def _climb(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         done = cut_lineage(done)
         ends = done.select("tree_id", F.col("node_id").alias("up_id"), F.col("branch").alias("_b"))
         above = rest.select("tree_id", F.col("node_id").alias("up_id"), F.col("up_id").alias("_far"), F.col("score").alias("_s"))
-        done = done.unionByName(_joined(rest, ends, ["tree_id", "up_id"]).select("tree_id", "node_id", (F.col("score") + F.col("_b")).alias("branch")))
+        done = _union(done, _joined(rest, ends, ["tree_id", "up_id"]).select("tree_id", "node_id", (F.col("score") + F.col("_b")).alias("branch")))
         rest = cut_lineage(_joined(rest, above, ["tree_id", "up_id"]).select("tree_id", "node_id", F.col("_far").alias("up_id"), (F.col("score") + F.col("_s")).alias("score")))
         step *= 2
     if jumps:
@@ -93,7 +98,7 @@ def _expanded(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     """(tree_id, leaf_id, node_id, up) of the paths of some leaves: each jump table doubles the part that is known."""
     part = leaves.select("tree_id", "leaf_id", F.col("leaf_id").alias("node_id"), F.lit(0).cast("long").alias("up"))
     for k, jump in enumerate(jumps):
-        part = cut_lineage(part.unionByName(_joined(part, jump, ["tree_id", "node_id"]).select("tree_id", "leaf_id", F.col("up_id").alias("node_id"), (F.col("up") + (1 << k)).alias("up"))))
+        part = cut_lineage(_union(part, _joined(part, jump, ["tree_id", "node_id"]).select("tree_id", "leaf_id", F.col("up_id").alias("node_id"), (F.col("up") + (1 << k)).alias("up"))))
     return part
 
 
